@@ -1,9 +1,17 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from spandrel.llm import mixing, sharding
+from spandrel.llm import bpe, counts, mixing, neardup_vectors, sharding, topk
 
 QUERIES = {
+    "op2_neardup_vectors": neardup_vectors.query,
+    "op3_bpe": bpe.query,
     "op4_sharding": sharding.query,
+    "op6_topk": topk.query,
     "op7_mixing": mixing.query,
+    "op10_edit_counts": counts.query,
+}
+ORACLES = {
+    "op2_neardup_vectors": neardup_vectors.ORACLE,
+    "op6_topk": topk.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
-ORACLES = {"op7_mixing": mixing.ORACLE}
