@@ -26,6 +26,8 @@ K = 20
 EVERY = 20
 SHARD = 8192
 LEAF = 128
+#: Below any score, and safe to negate.
+LOWEST = -np.iinfo(np.int64).max
 
 
 def packed(**arrays) -> bytes:
@@ -80,7 +82,7 @@ def search(tree: dict, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.n
     leaves = tree["leaves"]
     bound = bound[:, leaves]
     turn = np.argsort(-bound, axis=1, kind="stable")
-    low = np.iinfo(np.int64).min
+    low = LOWEST
     best, names = np.full((n, k), low), np.full((n, k), np.iinfo(np.int64).max)
     kth = floor.copy()
     for step in range(len(leaves)):
@@ -138,7 +140,7 @@ def top_k(vectors: DataFrame, scaled: str, is_query: str, vec_id: str = "vec_id"
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 q = unpacked(row["queries"])
-                floor = np.full(len(q["ids"]), np.iinfo(np.int64).min)
+                floor = np.full(len(q["ids"]), LOWEST)
                 who, ids, scores, kth = search(unpacked(row["tree"]), q["ids"], q["x"], k, floor)
                 found = packed(query=q["ids"][who], ids=ids, scores=scores)
                 yield pa.RecordBatch.from_pylist([{"dim": row["dim"], "home": row["shard"], "queries": packed(kth=kth, **q), "found": found}], schema=pa.schema([("dim", pa.int32()), ("home", pa.int32()), ("queries", pa.binary()), ("found", pa.binary())]))
