@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from spandrel.llm import bpe, counts, mixing, neardup_vectors, sharding, topk
+from spandrel.llm import bpe, counts, mixing, neardup_vectors, sharding, token_files, topk
 
 QUERIES = {
     "op2_neardup_vectors": neardup_vectors.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op6_topk": topk.query,
     "op7_mixing": mixing.query,
+    "op8_token_files": token_files.query,
     "op10_edit_counts": counts.query,
 }
 ORACLES = {
