@@ -15,6 +15,7 @@ with nothing; vectors of different length link with nothing; repeated rows count
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
@@ -25,41 +26,68 @@ from pyspark.sql import functions as F
 from spandrel.llm.common import components, read, save
 
 THRESHOLD = 0.9
-BLOCK = 2048
+BLOCK = 4096
 SLACK = 1e-9
 
 
 class Tree:
-    """A cover tree over the rows of x. Each node covers order[start:end] within radius of its centre."""
+    """A cover tree over unit vectors. Each node covers rows start:end within radius of its centre, itself one of them."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray):
-        norm = np.sqrt((x * x).sum(1))
-        unit = x / norm[:, None]
-        gram = unit @ unit.T
-        order, centre, start, end, radius, first, last = [], [], [], [], [], [], []
+    ARRAYS = ("ids", "weight", "x", "centre", "start", "end", "first", "last", "radius")
+
+    def __init__(self, arrays: dict):
+        self.ids, self.weight, self.x, self.centre, self.start, self.end, self.first, self.last, self.radius = (arrays[k] for k in self.ARRAYS)
+        self.x = self.x.astype(np.float64)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.unit = self.x / self.norm[:, None]
+        self.short = self.unit.astype(np.float32)
+        self.sums = np.concatenate([[0], np.cumsum(self.weight)])
+
+    def total(self, node: int) -> int:
+        return int(self.sums[self.end[node]] - self.sums[self.start[node]])
+
+    def level(self, radius: float, nodes: np.ndarray | None = None) -> np.ndarray:
+        """The highest nodes below `nodes` (the root) whose radius is at most `radius`: together they cover all rows."""
+        out, open_ = [], np.zeros(1, np.int64) if nodes is None else nodes
+        while len(open_):
+            small = self.radius[open_] <= radius
+            out.append(open_[small])
+            open_ = open_[~small]
+            open_ = np.concatenate([np.arange(self.first[k], self.last[k]) for k in open_]) if len(open_) else open_
+        return np.concatenate(out)
+
+    @classmethod
+    def build(cls, ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> dict:
+        """The tree's arrays, rows in tree order. Covers are chosen greedily in single precision; radii are exact."""
+        wide = x.astype(np.float64)
+        unit = wide / np.sqrt((wide * wide).sum(1))[:, None]
+        short = unit.astype(np.float32)
+        gram = short @ short.T
+        order, held = np.arange(len(ids)), []
+        centre, start, end, radius, first, last = [], [], [], [], [], []
 
         def add(members: np.ndarray, at: int) -> None:
             centre.append(members[0])
             start.append(at)
             end.append(at + len(members))
-            radius.append(math.sqrt(max(0.0, 2 - 2 * gram[members[0], members].min())) if len(members) > 1 else 0.0)
+            radius.append(float(np.sqrt(((unit[members] - unit[members[0]]) ** 2).sum(1).max())) if len(members) > 1 else 0.0)
             first.append(0)
             last.append(0)
-            held.append(members)
+            held.append(members if len(members) > 1 else None)
 
-        held: list = []
-        order = np.arange(len(ids))
         if len(ids):
-            add(order, 0)
+            add(order.copy(), 0)
+            held[0] = order.copy()
         k = 0
         while k < len(centre):
-            members, at = held[k], start[k]
-            if len(members) > 1:
-                reach = 2.0 ** (math.ceil(math.log2(radius[k])) - 1) if radius[k] > 1e-7 else -1.0
-                first[k], rest = len(centre), members
-                placed = []
+            if held[k] is not None and len(held[k]) > 1:
+                # the next of the halving radii below this node's own; nodes of no extent fall apart at once
+                reach = 2.0 ** (math.ceil(math.log2(radius[k])) - 1) if radius[k] > 1e-6 else -1.0
+                first[k], rest, at, placed = len(centre), held[k], start[k], []
                 while len(rest):
-                    inside = 2 - 2 * gram[rest[0], rest] <= reach * reach
+                    inside = gram[rest[0], rest] >= 1 - reach * reach / 2 if reach > 0 else np.zeros(len(rest), bool)
+                    if reach > 0 and (reach < 0.1 or inside.all()):  # too fine for single precision, or no progress by it
+                        inside = ((unit[rest] - unit[rest[0]]) ** 2).sum(1) <= reach * reach
                     inside[0] = True
                     add(rest[inside], at)
                     placed.append(rest[inside])
@@ -69,17 +97,10 @@ class Tree:
                 order[start[k] : end[k]] = np.concatenate(placed)
             held[k] = None
             k += 1
-        self.ids, self.weight, self.x, self.norm = ids[order], weight[order], x[order], norm[order]
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        self.unit = unit[order]
-        self.centre = place[np.array(centre, np.int64)]
-        self.start, self.end, self.first, self.last = (np.array(v, np.int64) for v in (start, end, first, last))
-        self.radius = np.array(radius)
-        self.sums = np.concatenate([[0], np.cumsum(self.weight)])
-
-    def total(self, node: int) -> int:
-        return int(self.sums[self.end[node]] - self.sums[self.start[node]])
+        nodes = [np.array(v, np.int64) for v in (start, end, first, last)]
+        return dict(zip(cls.ARRAYS, (ids[order], weight[order], x[order], place[np.array(centre, np.int64)], *nodes, np.array(radius))))
 
 
 class Links:
@@ -119,23 +140,39 @@ class Links:
                 self.joined[s] += 1
                 self.joined[e - 1] -= 1
                 continue
-            kids = np.arange(t.first[k], t.last[k])
+            kids = t.level(self.chord / 2, np.arange(t.first[k], t.last[k]))
             self.between(kids, kids, True)
             stack += [x for x in kids.tolist() if t.end[x] - t.start[x] > 1]
 
+    def near(self, ps: np.ndarray, qs: np.ndarray, upper: bool):
+        """Node pairs whose members may link, with their centres' cosine. A loose bound in single precision goes first."""
+        a, b = self.a, self.b
+        for pa_ in (ps[a.radius[ps] == 0], ps[a.radius[ps] > 0]):
+            for qb in (qs[b.radius[qs] == 0], qs[b.radius[qs] > 0]):
+                if not len(pa_) or not len(qb):
+                    continue
+                far = self.chord + SLACK + a.radius[pa_].max() + b.radius[qb].max()
+                loose = np.float32(1 - far * far / 2 - 1e-5)
+                right = b.short[b.centre[qb]].T
+                for k in range(0, len(pa_), 512):
+                    some = pa_[k : k + 512]
+                    at = np.flatnonzero(a.short[a.centre[some]] @ right >= loose)
+                    if not len(at):
+                        continue
+                    p, q = some[at // len(qb)], qb[at % len(qb)]
+                    if upper:
+                        p, q = p[p < q], q[p < q]
+                    cos = (a.unit[a.centre[p]] * b.unit[b.centre[q]]).sum(1)
+                    far = self.chord + SLACK + a.radius[p] + b.radius[q]
+                    fine = cos >= 1 - far * far / 2
+                    yield from zip(p[fine].tolist(), q[fine].tolist(), cos[fine].tolist())
+
     def between(self, ps: np.ndarray, qs: np.ndarray, upper: bool = False) -> None:
         a, b = self.a, self.b
         stack = [(ps, qs, upper)]
         while stack:
-            ps, qs, upper = stack.pop()
-            cos = a.unit[a.centre[ps]] @ b.unit[b.centre[qs]].T
-            far = self.chord + SLACK + a.radius[ps][:, None] + b.radius[qs]
-            near = cos >= 1 - far * far / 2
-            if upper:
-                near = np.triu(near, 1)
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                p, q = int(ps[i]), int(qs[j])
-                distance, reach = math.sqrt(max(0.0, 2 - 2 * cos[i, j])), a.radius[p] + b.radius[q]
+            for p, q, cos in self.near(*stack.pop()):
+                distance, reach = math.sqrt(max(0.0, 2 - 2 * cos)), a.radius[p] + b.radius[q]
                 one_p, one_q = a.end[p] - a.start[p] == 1, b.end[q] - b.start[q] == 1
                 if one_p and one_q:
                     x, y = a.centre[p], b.centre[q]
@@ -156,7 +193,8 @@ class Links:
             self.within(0)
             ids = self.a.ids
         else:
-            self.between(np.array([0]), np.array([0]))
+            # nodes wider than the chord prune nothing, so both trees are first opened down to half of it
+            self.between(self.a.level(self.chord / 2), self.b.level(self.chord / 2))
             ids = np.concatenate([self.a.ids, self.b.ids])
         counts = np.cumsum(self.counts)[:-1]
         runs = np.concatenate([[0], np.cumsum(np.cumsum(self.joined)[:-2] <= 0)]) if len(ids) > 1 else np.zeros(1, np.int64)
@@ -185,17 +223,19 @@ def matrix(column, dim: int) -> np.ndarray:
 
 def _pack(table: pa.Table) -> pa.Table:
     dim = table["dim"][0].as_py()
-    x = matrix(table["embedding"], dim)
-    return pa.table({
-        "dim": pa.array([dim], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()),
-        "ids": pa.array([table["rep"].to_numpy().astype("<i8").tobytes()]), "weights": pa.array([table["weight"].to_numpy().astype("<i8").tobytes()]),
-        "vectors": pa.array([np.ascontiguousarray(x).tobytes()]), "kind": pa.array([x.dtype.str]),
-    })
+    tree = Tree.build(table["rep"].to_numpy(), table["weight"].to_numpy(), matrix(table["embedding"], dim))
+    return pa.table({"dim": pa.array([dim], pa.int32()), "block": table["block"].slice(0, 1), "tree": pa.array([packed(**tree)], pa.binary())})
+
+
+def packed(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
 
-def _tree(row: dict, side: str) -> Tree:
-    take = lambda name, kind: np.frombuffer(row[name + side], kind)
-    return Tree(take("ids", "<i8"), take("weights", "<i8"), take("vectors", row["kind" + side]).astype(np.float64).reshape(-1, row["dim"]))
+def unpacked(data: bytes) -> dict:
+    with np.load(io.BytesIO(data)) as found:
+        return {k: found[k] for k in found.files}
 
 
 def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -205,13 +245,13 @@ def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "
     unique = save(v.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "unique")
     n = max(1, -(-unique.count() // block))
     dealt = unique.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")})
-    packed = save(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, weights binary, vectors binary, kind string"), "blocks")
+    trees = save(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, tree binary"), "blocks")
     # every unordered pair of blocks once: a block meets the next n // 2 ones around the circle
-    steps = packed.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
+    steps = trees.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
     if n % 2 == 0 and n > 1:
         steps = steps.where((F.col("step") < n // 2) | (F.col("block") < n // 2))
     steps = steps.withColumn("other", F.pmod(F.col("block") + F.col("step"), F.lit(n)))
-    right = packed.select("dim", F.col("block").alias("other"), *(F.col(c).alias(c + "_b") for c in ("ids", "weights", "vectors", "kind")))
+    right = trees.select("dim", F.col("block").alias("other"), F.col("tree").alias("tree_b"))
     threshold_ = threshold
 
     def run(batches):
@@ -220,8 +260,8 @@ def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "
             for row in range(batch.num_rows):
                 row = batch.slice(row, 1).to_pylist()[0]
                 if kept != (row["dim"], row["other"]):
-                    kept, tree = (row["dim"], row["other"]), _tree(row, "_b")
-                a = tree if row["step"] == 0 else _tree(row, "")
+                    kept, tree = (row["dim"], row["other"]), Tree(unpacked(row["tree_b"]))
+                a = tree if row["step"] == 0 else Tree(unpacked(row["tree"]))
                 found = Links(a, tree, threshold_).run()
                 columns = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])

@@ -12,15 +12,13 @@ candidate; ties go to the smaller id; fewer candidates than k give fewer rows; a
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import read, save
-from spandrel.llm.neardup_vectors import matrix
+from spandrel.llm.neardup_vectors import matrix, packed, unpacked
 
 K = 20
 EVERY = 20
@@ -30,17 +28,6 @@ LEAF = 128
 LOWEST = -np.iinfo(np.int64).max
 
 
-def packed(**arrays) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def unpacked(data: bytes) -> dict:
-    with np.load(io.BytesIO(data)) as found:
-        return {k: found[k] for k in found.files}
-
-
 def ball_tree(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
     """Nodes in pre-order: parent, range of rows, centre, radius; leaves: numbers of the nodes that are not split."""
     order = np.argsort(ids, kind="stable")
