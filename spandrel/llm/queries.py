@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from spandrel.llm import bpe, counts, langid, mixing, neardup_vectors, ngram_join, sharding, token_files, topk
+from spandrel.llm import bpe, counts, langid, line_dedup, mixing, neardup_vectors, ngram_join, sharding, token_files, topk
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_neardup_vectors": neardup_vectors.query,
     "op3_bpe": bpe.query,
     "op4_sharding": sharding.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_topk": topk.query,
     "op7_mixing": mixing.query,
     "op8_token_files": token_files.query,
