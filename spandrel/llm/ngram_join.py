@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose sets of distinct word n-grams have a Jaccard similarity of at least 85 %.
 
 Documents of one set are folded into a class. Each class hashes its n-grams into GROUPS groups; the group counts are a
-point, and the sum of two points' coordinate minima bounds the overlap of the sets. Classes meet where they can link at
+point, and the sum of two points' coordinate minima bounds the overlap of the sets (pairs that pass on the first GROUPS
+coordinates are held against their finer counts). Classes meet where they can link at
 all: two sets this similar share one of the first n - ceil(0.85 n) + 1 n-grams of each in hash order, so each class goes
 to the buckets of those. N-grams that fill more than HOT_SHARE of all rows (and HOT rows) are put last in that order
 and the prefixes drawn again, until none is left, so a passage that many documents share opens no bucket. In a bucket
@@ -27,7 +28,9 @@ from spandrel.llm.common import components, read, save
 
 WIDTH = 4
 PERCENT = 85
+#: Groups by size of set: counts of larger sets stand out less, so they are kept finer; finer groups nest in coarser ones.
 GROUPS = 64
+FINER = ((512, 256), (4096, 1024))
 BLOCK = 2048
 FAMILY = 512
 HOT = 2048
@@ -47,6 +50,26 @@ def fingerprint(u: np.ndarray) -> tuple[int, int]:
     return int(hashing.mix(u, 3).sum().view(np.int64)), int(hashing.mix(u, 4).sum().view(np.int64))
 
 
+def group_counts(u: np.ndarray) -> np.ndarray:
+    """Members by group; all FULL (no bound but size) where a count might not fit."""
+    if len(u) >= FULL:
+        return np.full(GROUPS, FULL, "<u2")
+    groups = next((g for least, g in reversed(FINER) if len(u) >= least), GROUPS)
+    return np.bincount((u >> hashing.U(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype("<u2")
+
+
+def folded(counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1, dtype=np.uint16)
+
+
+def finer_possible(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """The bound on the finest groups that both sets have."""
+    groups = min(len(a), len(b))
+    if groups == GROUPS:
+        return True
+    return bool(possible(n, m, int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64)), percent))
+
+
 def features(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
     """doc_id, n, p and q (fingerprint of the set), counts (group counts, u16) and keys (the prefix)."""
     common = docs.sparkSession.sparkContext.broadcast(np.sort(hot))  # fewer than one in HOT_SHARE of a prefix's length
@@ -62,7 +85,7 @@ def features(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     x, y = fingerprint(u)
                     p.append(x)
                     q.append(y)
-                    counts.append(np.minimum(np.bincount((u >> hashing.U(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL).astype("<u2").tobytes())
+                    counts.append(group_counts(u).tobytes())
                     if len(last) and len(u):
                         at = last[np.minimum(np.searchsorted(last, u), len(last) - 1)] == u
                         u = np.concatenate([u[~at], u[at]])
@@ -152,7 +175,7 @@ class Parts:
         return p
 
 
-def bucket_forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray, fine: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the count bound lets link within one bucket."""
     parts = Parts(len(ids))
     # most buckets are one family: everything is first held against one member
@@ -160,13 +183,17 @@ def bucket_forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: i
     bound = np.minimum(counts, counts[0]).sum(1, dtype=np.int64)
     bound = np.where(full | full[0], np.minimum(n, n[0]), bound)
     near = possible(n.astype(np.int64), int(n[0]), bound, percent) & (100 * np.minimum(n, n[0]) >= percent * np.maximum(n, n[0]))
+    if len(fine[0]) > GROUPS:
+        for k in np.nonzero(near)[0].tolist():
+            near[k] = finer_possible(fine[0], fine[k], int(n[0]), int(n[k]), percent)
     near[0] = True
     parts.parent[near] = 0
     if not near.all():
         tree = PointTree(n, counts)
         for a, b in tree.survivors(parts.labels().copy(), percent):
             for i, j in zip(tree.order[a].tolist(), tree.order[b].tolist()):
-                parts.join(i, j)
+                if parts.root(i) != parts.root(j) and finer_possible(fine[i], fine[j], int(n[i]), int(n[j]), percent):
+                    parts.join(i, j)
     of = parts.labels()
     moved = np.nonzero(of != np.arange(len(of)))[0]
     return ids[moved], ids[of[moved]]
@@ -226,7 +253,8 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
     def run(batches):
         for table in grouped(batches, 3):
             ids, n = table["rep"].to_numpy(), table["n"].to_numpy()
-            counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
+            finest = [np.frombuffer(x, "<u2") for x in table["counts"].to_pylist()]
+            counts = np.stack([folded(x) for x in finest])
             cuts = spans(table, 3)
             sizes = np.diff(cuts)
             found = []
@@ -236,9 +264,11 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
                 bound = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
                 bound = np.where((counts[a] == FULL).any(1) | (counts[b] == FULL).any(1), np.minimum(n[a], n[b]), bound)
                 fine = possible(n[a].astype(np.int64), n[b], bound, percent) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                found.append((ids[a[fine]], ids[b[fine]]))
+                for i, j in zip(a[fine].tolist(), b[fine].tolist()):
+                    if finer_possible(finest[i], finest[j], int(n[i]), int(n[j]), percent):
+                        found.append((ids[i : i + 1], ids[j : j + 1]))
             for a, b in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
-                found.append(bucket_forest(ids[a:b], n[a:b], counts[a:b], percent))
+                found.append(bucket_forest(ids[a:b], n[a:b], counts[a:b], finest[a:b], percent))
             out = edges_of(found)
             pair = np.unique(np.stack([np.minimum(out.column(0), out.column(1)), np.maximum(out.column(0), out.column(1))]), axis=1)
             yield edges_of([(pair[0], pair[1])])
@@ -269,18 +299,18 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     small = members.count() <= BROADCAST_ROWS
     named = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep")
 
-    def sets(batches):
+    def right(batches):
+        """Rows whose text has the member's set: an id may stand for several texts."""
         for batch in batches:
             data, borders = hashing.texts(batch.column(1))
             for a, b in hashing.chunks(borders):
                 found = hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)
-                prints = [fingerprint(u) for u in found]
-                right = [k for k, x in enumerate(prints) if x == (batch.column(2)[a + k].as_py(), batch.column(3)[a + k].as_py())]
-                piece = batch.slice(a, b - a).take(pa.array(right, pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(4), piece.column(5), pa.array([found[k].tobytes() for k in right], pa.binary())], names=["rep", "family", "rows", "grams"])
+                p, q = batch.column(2).to_pylist()[a:b], batch.column(3).to_pylist()[a:b]
+                keep = [a + k for k, u in enumerate(found) if fingerprint(u) == (p[k], q[k])]
+                yield batch.take(pa.array(keep, pa.int64())).select(["rep", "text", "family", "rows"])
 
-    full = named.select("rep", "text", "p", "q", "family", "rows").mapInArrow(sets, "rep long, family long, rows long, grams binary")
-    dealt = blocks(full, "family", "rows", FAMILY).select("family", "lo", "hi", "rep", "grams")
+    full = named.select("rep", "text", "p", "q", "family", "rows").mapInArrow(right, "rep long, text string, family long, rows long")
+    dealt = blocks(full, "family", "rows", FAMILY).select("family", "lo", "hi", "rep", "text")  # texts pack better than their sets
     dealt = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "rep")
 
     def run(batches):
@@ -289,7 +319,9 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
             found = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, first = np.unique(ids[a:b], return_index=True)
-                found.append(true_forest(own, [np.frombuffer(table["grams"][a + int(k)].as_py(), np.uint64) for k in first], percent))
+                data, borders = hashing.texts(table["text"].combine_chunks().take(pa.array(a + first)))
+                sets = [u for k, m in hashing.chunks(borders) for u in hashing.word_shingles(data[borders[k] : borders[m]], borders[k : m + 1] - borders[k], width)]
+                found.append(true_forest(own, sets, percent))
             yield edges_of(found)
 
     return dealt.mapInArrow(run, "a long, b long")
