@@ -280,13 +280,17 @@ def true_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[
     """Edges that connect the members of one family that truly link, found by comparing members of different parts."""
     parts, a, b = Parts(len(ids)), [], []
     n = np.array([len(s) for s in sets], np.int64)
+    members: dict[int, set] = {}
     order = np.argsort(n, kind="stable")
     for at, i in enumerate(order.tolist()):
         # members of similar size, the nearest parts' oldest members first
         for j in order[:at][100 * n[order[:at]] >= percent * n[i]].tolist():
             if parts.root(i) == parts.root(j):
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            for k in (i, j):
+                if k not in members:
+                    members[k] = set(sets[k].tolist())
+            common = len(members[i] & members[j])
             if 100 * common >= percent * (n[i] + n[j] - common):
                 parts.join(i, j)
                 a.append(ids[i])
