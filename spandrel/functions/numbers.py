@@ -48,42 +48,48 @@ def is_placeholder(s: Column) -> Column:
     return F.lower(trimmed(s)).isin(*PLACEHOLDERS)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once: long chains of steps would else double at every step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _step(state: Column, test, cut) -> Column:
+    """The next state (text, marks): whether test holds of the text goes to the marks, and then cut of the text is kept."""
+    return let(state, lambda s: let(test(s.t), lambda hit: F.struct(F.when(hit, F.trim(cut(s.t))).otherwise(s.t).alias("t"), F.concat(s.marks, F.array(hit)).alias("marks"))))
+
+
 def parse_number(s: Column) -> Column:
     """The typed-table grammar as a struct: value, negative, percent, currency, scale, integral, transforms; null if no number.
 
-    The steps, each seeing what the one before left: currency signs, brackets, percent, CR / DR, minus signs, a scale letter.
+    The steps, each seeing what the one before left: currency signs, brackets, percent, CR, DR, minus signs, a scale letter.
     """
-    raw = F.trim(F.coalesce(s, F.lit("")))
-    t = raw
-    currency = t.rlike("[$€£¥]")
-    t = F.trim(F.regexp_replace(t, "[$€£¥]", ""))
-    bracket = t.rlike(r"^\(.*\)")
-    t = F.when(bracket, F.regexp_extract(t, r"^\((.*)\)", 1)).otherwise(t)
-    t = F.trim(t)
-    percent = t.endswith("%")
-    t = F.trim(F.regexp_replace(t, "%$", ""))
-    credit = F.lower(t).endswith("cr")
-    t = F.trim(F.regexp_replace(t, "(?i)(cr|dr)$", ""))
-    after = t.endswith("-")
-    t = F.trim(F.regexp_replace(t, "-$", ""))
-    before = t.startswith("-")
-    t = F.trim(F.regexp_replace(t, "^-", ""))
-    letter = F.when(t.rlike("(?i)[0-9].*[kmbt]$"), F.lower(F.right(t, F.lit(1))))
-    scale = F.when(letter == "k", 1e3).when(letter == "m", 1e6).when(letter == "b", 1e9).when(letter == "t", 1e12).otherwise(1.0)
-    t = F.when(letter.isNotNull(), F.trim(F.regexp_replace(t, "(?i)[kmbt]$", ""))).otherwise(t)
-    t = F.replace(t, F.lit(","), F.lit(""))
-    negative = bracket | credit | after | before
-    value = F.when(t.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), t.cast("double")) * scale * F.when(negative, -1.0).otherwise(1.0)
-    steps = F.array(
-        F.when(currency, "strip currency"), F.when(bracket, "brackets"), F.when(percent, "percent"), F.when(credit, "credit"),
-        F.when(after, "trailing minus"), F.when(letter.isNotNull(), F.concat(F.lit("scale "), letter)), F.when(negative, "signed"),
-    )
-    integral = ~F.contains(t, F.lit(".")) & (scale == 1.0)
-    made = F.struct(
-        value.alias("value"), negative.alias("negative"), percent.alias("percent"), currency.alias("currency"), scale.alias("scale"),
-        integral.alias("integral"), F.filter(steps, lambda x: x.isNotNull()).alias("transforms"),
-    )
-    return F.when(~F.lower(raw).isin("", *PLACEHOLDERS) & value.isNotNull(), made)
+    drop = lambda pattern: lambda t: F.regexp_replace(t, pattern, "")
+    has = lambda pattern: lambda t: t.rlike(pattern)
+    state = F.struct(F.trim(F.coalesce(s, F.lit(""))).alias("t"), F.array().cast("array<boolean>").alias("marks"))
+    for pattern, cut in (
+        ("[$€£¥]", drop("[$€£¥]")), (r"^\(.*\)", lambda t: F.regexp_extract(t, r"^\((.*)\)", 1)), ("%$", drop("%$")), ("(?i)cr$", drop("(?i)cr$")),
+        ("(?i)dr$", drop("(?i)dr$")), ("-$", drop("-$")), ("^-", drop("^-")), ("(?i)[0-9].*k$", drop("(?i)k$")), ("(?i)[0-9].*m$", drop("(?i)m$")),
+        ("(?i)[0-9].*b$", drop("(?i)b$")), ("(?i)[0-9].*t$", drop("(?i)t$")),
+    ):
+        state = _step(state, has(pattern), cut)
+
+    def made(x: Column) -> Column:
+        currency, bracket, percent, credit, _, after, before, k, m, b, t = (x.marks[i] for i in range(11))
+        scale = F.when(k, 1e3).when(m, 1e6).when(b, 1e9).when(t, 1e12).otherwise(1.0)
+        bare = F.replace(x.t, F.lit(","), F.lit(""))
+        negative = bracket | credit | after | before
+        steps = F.array(
+            F.when(currency, "strip currency"), F.when(bracket, "brackets"), F.when(percent, "percent"), F.when(credit, "credit"),
+            F.when(after, "trailing minus"), F.when(scale > 1, F.concat(F.lit("scale "), scale.cast("long").cast("string"))), F.when(negative, "signed"),
+        )
+        out = F.struct(
+            (bare.cast("double") * scale * F.when(negative, -1.0).otherwise(1.0)).alias("value"), negative.alias("negative"), percent.alias("percent"),
+            currency.alias("currency"), scale.alias("scale"), (~F.contains(bare, F.lit(".")) & (scale == 1.0)).alias("integral"),
+            F.filter(steps, lambda v: v.isNotNull()).alias("transforms"),
+        )
+        return F.when(bare.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), out)
+
+    return F.when(~F.lower(F.trim(F.coalesce(s, F.lit("")))).isin("", *PLACEHOLDERS), let(state, made))
 
 
 def sign_fix(s: Column) -> Column:
