@@ -4,8 +4,9 @@ Documents of one set are folded into a class. Each class hashes its n-grams into
 point, and the sum of two points' coordinate minima bounds the overlap of the sets (pairs that pass on the first GROUPS
 coordinates are held against their finer counts). Classes meet where they can link at
 all: two sets this similar share one of the first n - ceil(0.85 n) + 1 n-grams of each in hash order, so each class goes
-to the buckets of those. N-grams that fill more than HOT_SHARE of all rows (and HOT rows) are put last in that order
-and the prefixes drawn again, until none is left, so a passage that many documents share opens no bucket. In a bucket
+to the buckets of those. N-grams in more than HOT_SHARE of all texts (and HOT texts) are put last in that order, and the
+prefixes are drawn again should one still fill a bucket, so a passage that many documents share opens none. Of buckets
+that hold the same classes one is kept. In a bucket
 the points are packed into an R-tree; pairs of nodes whose upper corners cannot give the overlap their sizes need are
 dropped, then pairs of points; what survives is kept as a spanning forest. The forests' components (candidate families)
 are then verified on the n-gram sets themselves, again leaving a spanning forest of true links. Buckets and families
@@ -30,7 +31,7 @@ WIDTH = 4
 PERCENT = 85
 #: Groups by size of set: counts of larger sets stand out less, so they are kept finer; finer groups nest in coarser ones.
 GROUPS = 64
-FINER = ((512, 256), (4096, 1024))
+FINER = ((1536, 256), (6144, 1024))
 BLOCK = 2048
 FAMILY = 512
 HOT = 2048
@@ -39,7 +40,10 @@ LEAF = 16
 FAN = 16
 #: Ids up to this many travel by broadcast (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-FULL = np.iinfo(np.uint16).max
+BROADCAST_BUCKETS = 500_000
+FULL = np.iinfo(np.uint8).max
+#: The same in folded counts, which hold up to 16 of them.
+WHOLE = np.iinfo(np.uint16).max
 
 
 def prefix(n, percent: int):
@@ -51,15 +55,14 @@ def fingerprint(u: np.ndarray) -> tuple[int, int]:
 
 
 def group_counts(u: np.ndarray) -> np.ndarray:
-    """Members by group; all FULL (no bound but size) where a count might not fit."""
-    if len(u) >= FULL:
-        return np.full(GROUPS, FULL, "<u2")
+    """Members by group, a byte each; all FULL (no bound but size) where a count does not fit."""
     groups = next((g for least, g in reversed(FINER) if len(u) >= least), GROUPS)
-    return np.bincount((u >> hashing.U(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype("<u2")
+    counts = np.bincount((u >> hashing.U(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8) if counts.max() < FULL else np.full(GROUPS, FULL, np.uint8)
 
 
 def folded(counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1, dtype=np.uint16)
+    return counts.astype(np.uint16) if len(counts) == groups else counts.reshape(groups, -1).sum(1, dtype=np.uint16)
 
 
 def finer_possible(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
@@ -72,7 +75,7 @@ def finer_possible(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -
 
 def features(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
     """doc_id, n, p and q (fingerprint of the set), counts (group counts, u16) and keys (the prefix)."""
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(hot))  # fewer than one in HOT_SHARE of a prefix's length
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(hot))  # at most 1 / HOT_SHARE times the mean set's size
 
     def run(batches):
         last = common.value
@@ -96,6 +99,27 @@ def features(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
     return docs.mapInArrow(run, "doc_id long, n int, p long, q long, counts binary, keys array<long>")
 
 
+def frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """N-grams that stand in more than HOT_SHARE of the texts (and HOT texts), from those common within a batch.
+
+    They only set the order of n-grams, so one that is missed costs time, not links; at most 1 / HOT_SHARE times the mean
+    set's size.
+    """
+
+    def run(batches):
+        for batch in batches:
+            data, borders = hashing.texts(batch.column(0))
+            sets = [u for a, b in hashing.chunks(borders) for u in hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)]
+            if sets:
+                keys, n = np.unique(np.concatenate(sets), return_counts=True)
+                some = n >= max(4, HOT_SHARE * len(sets) / 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["key", "n"])
+
+    most = max(HOT, int(HOT_SHARE * docs.count()))
+    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64)
+
+
 def possible(n: np.ndarray, m: np.ndarray, bound: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m members with at most `bound` in common can reach the similarity."""
     return (100 + percent) * bound >= percent * (n + m)
@@ -107,7 +131,7 @@ class PointTree:
     def __init__(self, n: np.ndarray, counts: np.ndarray):
         order = np.lexsort((counts[:, int(np.argmax(counts.var(0)))], n // np.maximum(1, n.max() // 16), ))
         self.order, n = order, n[order].astype(np.int64)
-        hi = np.where((counts == FULL).any(1, keepdims=True), FULL, counts)[order]
+        hi = np.where((counts == WHOLE).any(1, keepdims=True), WHOLE, counts)[order]
         # a count that doesn't fit makes its point bounded by size alone
         self.levels = [(hi, n, n)]
         step = LEAF
@@ -134,7 +158,7 @@ class PointTree:
             keep &= (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
             a, b = a[keep], b[keep]
             bound = np.minimum(hi[a], hi[b]).sum(1, dtype=np.int64)
-            bound = np.where((hi[a, 0] == FULL) | (hi[b, 0] == FULL), np.minimum(high[a], high[b]), bound)
+            bound = np.where((hi[a, 0] == WHOLE) | (hi[b, 0] == WHOLE), np.minimum(high[a], high[b]), bound)
             keep = possible(low[a], low[b], bound, percent)
             a, b = a[keep], b[keep]
             if not len(a):
@@ -179,7 +203,7 @@ def bucket_forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray, fine: list
     """Edges that connect what the count bound lets link within one bucket."""
     parts = Parts(len(ids))
     # most buckets are one family: everything is first held against one member
-    full = (counts == FULL).any(1)
+    full = (counts == WHOLE).any(1)
     bound = np.minimum(counts, counts[0]).sum(1, dtype=np.int64)
     bound = np.where(full | full[0], np.minimum(n, n[0]), bound)
     near = possible(n.astype(np.int64), int(n[0]), bound, percent) & (100 * np.minimum(n, n[0]) >= percent * np.maximum(n, n[0]))
@@ -245,7 +269,8 @@ def blocks(df: DataFrame, key: str, size: str, most: int) -> DataFrame:
 
 def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> DataFrame:
     rows = classes.select(F.explode("keys").alias("key"), "rep")
-    rows = rows.join(counted, "key")
+    small = counted.count() <= BROADCAST_BUCKETS
+    rows = rows.join(F.broadcast(counted) if small else counted, "key")
     rows = blocks(rows, "key", "rows", BLOCK).join(classes.select("rep", "n", "counts"), "rep")
     rows = rows.select("key", "lo", "hi", "rep", "n", "counts")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
@@ -253,8 +278,9 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
     def run(batches):
         for table in grouped(batches, 3):
             ids, n = table["rep"].to_numpy(), table["n"].to_numpy()
-            finest = [np.frombuffer(x, "<u2") for x in table["counts"].to_pylist()]
+            finest = [np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]
             counts = np.stack([folded(x) for x in finest])
+            counts[[bool(x[0] == FULL) and len(x) == GROUPS for x in finest]] = WHOLE
             cuts = spans(table, 3)
             sizes = np.diff(cuts)
             found = []
@@ -262,7 +288,7 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
             if len(two):
                 a, b = two, two + 1
                 bound = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
-                bound = np.where((counts[a] == FULL).any(1) | (counts[b] == FULL).any(1), np.minimum(n[a], n[b]), bound)
+                bound = np.where((counts[a] == WHOLE).any(1) | (counts[b] == WHOLE).any(1), np.minimum(n[a], n[b]), bound)
                 fine = possible(n[a].astype(np.int64), n[b], bound, percent) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                 for i, j in zip(a[fine].tolist(), b[fine].tolist()):
                     if finer_possible(finest[i], finest[j], int(n[i]), int(n[j]), percent):
@@ -334,13 +360,14 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    hot = np.zeros(0, np.uint64)
+    hot = frequent(docs, width)
     while True:
         found = save(features(docs, width, percent, hot), "features")
         classes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
         classes = save(classes, "classes")
-        counted = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        counted = save(counted, "buckets")
+        buckets = classes.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("rows > 1")
+        # buckets of the same classes (by a 128-bit hash of their ids) ask the same questions; one of them is kept
+        counted = save(buckets.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), "buckets")
         most = max(HOT, int(HOT_SHARE * classes.count()))
         new = [r["key"] for r in counted.where(F.col("rows") > most).select("key").collect()]  # under 1 / HOT_SHARE times a prefix's length
         new = np.setdiff1d(np.array(new, np.int64).view(np.uint64), hot)
