@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import read
+from spandrel.llm.common import lean, read
 
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 1 << 14
@@ -135,7 +135,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RAN
             found = [c.encode(x or "").astype("<u4").tobytes() for x in map(pa.StringScalar.as_py, batch.column(where))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, ids])
 
-    return out.mapInArrow(run, T.StructType([*out.schema, T.StructField(ids, T.BinaryType())]))
+    return out.mapInArrow(lean(run), T.StructType([*out.schema, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str = RANKS) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str
             found = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, decoded])
 
-    return out.mapInArrow(run, T.StructType([*out.schema, T.StructField(decoded, T.BinaryType())]))
+    return out.mapInArrow(lean(run), T.StructType([*out.schema, T.StructField(decoded, T.BinaryType())]))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spandrel.llm.bpe import RANKS, codec, tokenizer_file
-from spandrel.llm.common import read
+from spandrel.llm.common import lean, read
 
 #: Characters a leaf comes to before it is closed at the next safe cut.
 LEAF = 512
@@ -164,7 +164,7 @@ def edit_counts(df: DataFrame, text: str = "text", edits: str = "edits", ranks:
             columns = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return out.mapInArrow(run, T.StructType([*out.schema, *(T.StructField(n, T.LongType()) for n in names)]))
+    return out.mapInArrow(lean(run), T.StructType([*out.schema, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def sample_edits(length):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import read
+from spandrel.llm.common import lean, read
 
 LENGTH = 256
 FILTER_WIDTHS = (2, 3, 4)
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "cell", "x"])
 
-    drawn = chosen.select("lang", "cell", "text").mapInArrow(draw, "lang string, cell long, x binary")
+    drawn = chosen.select("lang", "cell", "text").mapInArrow(lean(draw), "lang string, cell long, x binary")
     found = sorted(tuple(r) for r in drawn.groupBy("lang", "cell").agg(F.min("x").alias("x")).collect())
     if not found:
         return None
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, net: dict | None, text: str = "text") -> DataFrame
             score = np.where(letter, np.clip(p.max(1, initial=0), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], labels.take(pa.array(best)), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return asked.mapInArrow(run, T.StructType([*out.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return asked.mapInArrow(lean(run), T.StructType([*out.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

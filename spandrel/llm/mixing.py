@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import read, save, sorted_parts
+from spandrel.llm.common import lean, read, save, sorted_parts
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     aims = targets(totals)
     parts = sorted_parts(sized, F.col("source").asc_nulls_last(), "_key", F.col(doc_id)).drop("_i")
-    parts = save(parts.mapInArrow(_running, T.StructType([*parts.schema, T.StructField("_before", T.LongType())])), "mix")
+    parts = save(parts.mapInArrow(lean(_running), T.StructType([*parts.schema, T.StructField("_before", T.LongType())])), "mix")
 
     runs = parts.groupBy("_pid", "source").agg(F.sum("size").alias("n"))  # as many rows as partitions and sources together
     first = runs.selectExpr("_pid", "source AS _source", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _first")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import components, read, save
+from spandrel.llm.common import components, lean, read, save
 
 THRESHOLD = 0.9
 BLOCK = 4096
@@ -266,7 +266,7 @@ def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "
                 columns = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
-    found = save(steps.join(right, ["dim", "other"]).mapInArrow(run, "a long, b long, n long"), "links")
+    found = save(steps.join(right, ["dim", "other"]).mapInArrow(lean(run), "a long, b long, n long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     parts = components(found)
     classes = unique.join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("id"), "left")

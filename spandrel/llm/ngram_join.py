@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm import hashing
-from spandrel.llm.common import components, read, save
+from spandrel.llm.common import components, lean, read, save
 
 WIDTH = 4
 PERCENT = 85
@@ -96,7 +96,7 @@ def features(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(counts, pa.binary()), lists], names=["doc_id", "n", "p", "q", "counts", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, p long, q long, counts binary, keys array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n int, p long, q long, counts binary, keys array<long>")
 
 
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -106,17 +106,27 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     set's size.
     """
 
+    def common(sets):
+        keys, n = np.unique(np.concatenate(sets), return_counts=True)
+        some = n >= max(3, HOT_SHARE * len(sets) / 2)
+        return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["key", "n"])
+
     def run(batches):
+        sets, size = [], 0
         for batch in batches:
             data, borders = hashing.texts(batch.column(0))
-            sets = [u for a, b in hashing.chunks(borders) for u in hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)]
-            if sets:
-                keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                some = n >= max(4, HOT_SHARE * len(sets) / 2)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["key", "n"])
+            for a, b in hashing.chunks(borders):
+                found = hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)
+                sets += found
+                size += sum(map(len, found))
+                if size > 1 << 21:
+                    yield common(sets)
+                    sets, size = [], 0
+        if sets:
+            yield common(sets)
 
     most = max(HOT, int(HOT_SHARE * docs.count()))
-    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    found = docs.select("text").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     return np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64)
 
 
@@ -299,7 +309,7 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
             pair = np.unique(np.stack([np.minimum(out.column(0), out.column(1)), np.maximum(out.column(0), out.column(1))]), axis=1)
             yield edges_of([(pair[0], pair[1])])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def true_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +349,7 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 keep = [a + k for k, u in enumerate(found) if fingerprint(u) == (p[k], q[k])]
                 yield batch.take(pa.array(keep, pa.int64())).select(["rep", "text", "family", "rows"])
 
-    full = named.select("rep", "text", "p", "q", "family", "rows").mapInArrow(right, "rep long, text string, family long, rows long")
+    full = named.select("rep", "text", "p", "q", "family", "rows").mapInArrow(lean(right), "rep long, text string, family long, rows long")
     dealt = blocks(full, "family", "rows", FAMILY).select("family", "lo", "hi", "rep", "text")  # texts pack better than their sets
     dealt = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "rep")
 
@@ -354,7 +364,7 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 found.append(true_forest(own, sets, percent))
             yield edges_of(found)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import read, save, sorted_parts
+from spandrel.llm.common import lean, read, save, sorted_parts
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -259,7 +259,7 @@ def write(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer
         if keys:
             yield file()
 
-    return save(parts.mapInArrow(run, "part long, seq int, n_ids long, low long, high long, data binary"), "tokens")
+    return save(parts.mapInArrow(lean(run), "part long, seq int, n_ids long, low long, high long, data binary"), "tokens")
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def records(files: DataFrame) -> DataFrame:
                     some = at[k : k + 1024]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 1024], pa.int64()), pa.array([base + int(file.borders[r]) for r in some], pa.int64()), pa.array([file.record(r).astype("<u4").tobytes() for r in some], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return starts(files).select("start", "data").mapInArrow(run, "doc_id long, start long, ids binary")
+    return starts(files).select("start", "data").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def lookup(files: DataFrame, key: int) -> list[np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import read, save
+from spandrel.llm.common import lean, read, save
 from spandrel.llm.neardup_vectors import matrix, packed, unpacked
 
 K = 20
@@ -152,9 +152,9 @@ def top_k(vectors: DataFrame, scaled: str, is_query: str, vec_id: str = "vec_id"
                 yield rows_of(f["query"], f["ids"], f["scores"])
 
     schema = "query_id long, vec_id long, score long"
-    first = save(trees.join(asked, ["dim", "shard"]).mapInArrow(at_home, "dim int, home int, queries binary, found binary"), "home")
+    first = save(trees.join(asked, ["dim", "shard"]).mapInArrow(lean(at_home), "dim int, home int, queries binary, found binary"), "home")
     away = first.select("dim", "home", "queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")).where("shard <> home")
-    found = away.join(trees, ["dim", "shard"]).mapInArrow(elsewhere, schema).unionByName(first.select("found").mapInArrow(unpack, schema))
+    found = away.join(trees, ["dim", "shard"]).mapInArrow(lean(elsewhere), schema).unionByName(first.select("found").mapInArrow(lean(unpack), schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
