@@ -21,7 +21,7 @@ def reading_order(spans: DataFrame, keys: list) -> DataFrame:
 
 def table_markdown(grid: DataFrame) -> DataFrame:
     """table_id and markdown of a dense grid: pipes escaped, a rule after the first row."""
-    cell = F.regexp_replace(F.col("text"), r"\|", r"\\\\|")
+    cell = F.replace(F.col("text"), F.lit("|"), F.lit("\\|"))
     rows = grid.groupBy("table_id", "row").agg(F.concat(F.lit("| "), in_order("col", cell, " | "), F.lit(" |")).alias("line"), F.max("col").alias("last"))
     line = F.when(F.col("row") == 0, F.concat("line", F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("last") + 1))).otherwise(F.col("line"))
     return rows.groupBy("table_id").agg(in_order("row", line, "\n").alias("markdown"))
