@@ -249,23 +249,42 @@ def reconstruct(region: tuple, boxes: np.ndarray, texts: list[str], cell_gap: fl
 # --- the same on frames: words have keys, ord, text and x0, y0, x1, y1 ---
 
 _NUMBERS = ["x0", "y0", "x1", "y1"]
+_EXTRA = ["rx0", "ry0", "rx1", "ry1"]
 
 
 def _per_group(words: DataFrame, keys: list, run, schema: str) -> DataFrame:
-    """run(boxes, texts, first row) -> rows, for each group of words in order of ord."""
+    """run(boxes, texts, first row) -> rows, for each group of words in order of ord.
+
+    Groups are small and many, so they are cut out of sorted batches by their borders instead of one call each.
+    """
     types = dict(words.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        rows: Iterable = run(pdf[_NUMBERS].to_numpy(np.float32), pdf["text"].fillna("").tolist(), pdf.iloc[0])
-        names = [c.split()[0] for c in schema.split(", ")]
-        out = pd.DataFrame(list(rows), columns=names)
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    return words.groupBy(*keys).applyInPandas(apply, f"{head}, {schema}")
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def groups(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        boxes, texts, rows = pdf[_NUMBERS].to_numpy(np.float32), pdf["text"].fillna("").tolist(), []
+        columns = {c: pdf[c].tolist() for c in [*keys, *_EXTRA] if c in pdf}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = tuple(columns[k][a] for k in keys)
+            rows += [key + tuple(r) for r in run(boxes[a:b], texts[a:b], {c: v[a] for c, v in columns.items()})]
+        return pd.DataFrame(rows, columns=names)
+
+    def stream(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(held):
+                continue
+            new = (held[keys] != held[keys].shift()).any(axis=1).to_numpy()
+            cuts = np.nonzero(new)[0]
+            if len(cuts) > 1:  # the last group may go on in the next batch
+                yield groups(held, cuts)
+                held = held.iloc[cuts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            new = (held[keys] != held[keys].shift()).any(axis=1).to_numpy()
+            yield groups(held, np.append(np.nonzero(new)[0], len(held)))
+
+    return words.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(stream, f"{head}, {schema}")
 
 
 def xy_cut(words: DataFrame, keys: list, x_gap: float = 12.0, y_gap: float = 8.0) -> DataFrame:

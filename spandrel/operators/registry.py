@@ -99,14 +99,15 @@ class Registry:
     def append(self, artifacts: DataFrame, verdicts: DataFrame | None = None) -> None:
         """Log artifacts (all observation columns but seq; ord sets their order) and verdicts. Numbers go on from the log's end."""
         start = self.observations.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        rows = artifacts.withColumn("seq", F.row_number().over(Window.orderBy("ord")).cast("long") + start)  # one write's artifacts: a document's worth
+        # numbers need only rise: range-sorted parts give them without one task seeing all rows
+        rows = artifacts.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("seq", F.monotonically_increasing_id() + start + 1)
         fields = [f.split()[0] for f in self.spark.createDataFrame([], OBSERVATION).columns]
         # lineage first: a log entry then never lacks the edges it claims
         lineage_edges(artifacts).write.mode("append").parquet(f"{self.path}/lineage")
         rows.select(*fields).write.mode("append").parquet(f"{self.path}/observations")
         if verdicts is not None:
             begin = self.verdicts.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-            numbered = verdicts.withColumn("seq", F.row_number().over(Window.orderBy("element_id")).cast("long") + begin)
+            numbered = verdicts.repartitionByRange("element_id").sortWithinPartitions("element_id").withColumn("seq", F.monotonically_increasing_id() + begin + 1)
             numbered.select(*self.spark.createDataFrame([], VERDICT).columns).write.mode("append").parquet(f"{self.path}/verdicts")
 
     def current(self) -> DataFrame:
