@@ -445,3 +445,58 @@ def structure_words(spark, sf_dir):
 def xy_cut(spark, sf_dir):
     words = _words(spark, sf_dir).withColumns({"text": F.lit("w"), "ord": F.xxhash64("x0", "y0", "x1", "y1")})
     return L.xy_cut(words, ["doc", "page"])
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars % 40 AS n FROM documents), k AS (SELECT doc_id, n, unnest(CASE WHEN n <= 5 THEN range(1, n + 1) ELSE list_distinct(list_transform(range(0, 5), lambda i: (round_even(i * (n - 1) / 4, 0) + 1)::BIGINT)) END) AS page FROM d)
+SELECT doc_id, page::INT AS page FROM k""")
+def even_pages(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 40).alias("n_pages"))
+    return corpus.even_pages(docs, 5, "doc_id")
+
+
+@query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
+def top_per_group(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    return corpus.top_per_group(load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), "doc_id"], 3)
+
+
+@query("""SELECT source AS doc, lang AS stage, sum(n_chars)::BIGINT AS ms, count(*)::BIGINT AS n, grouping(source, lang)::BIGINT AS level, round(sum(n_chars) / (SELECT sum(n_chars) FROM documents), 6) AS share
+FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())""")
+def stage_totals(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    timings = load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("lang").alias("stage"), F.col("n_chars").alias("ms"))
+    return corpus.stage_totals(timings).withColumn("share", F.round("share", 6))
+
+
+@query("""WITH l AS (SELECT doc_id % 50 AS doc, doc_id % 7 AS page, toxic = 1 AS figure, CASE quality WHEN 1 THEN 'Confirmed' ELSE 'Suspect' END AS impression FROM labels), p AS (SELECT DISTINCT doc_id % 50 AS doc, doc_id % 11 AS page FROM documents)
+SELECT p.doc, p.page, CASE WHEN count(l.doc) = 0 THEN 'missing' WHEN bool_or(figure) THEN 'figure' WHEN bool_or(impression = 'Suspect') THEN 'suspect' WHEN bool_or(impression = 'Confirmed') THEN 'confirmed' ELSE 'ok' END AS status
+FROM p LEFT JOIN l ON l.doc = p.doc AND l.page = p.page GROUP BY 1, 2""")
+def page_status(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    labels = load(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("doc"), (F.col("doc_id") % 7).alias("page"), (F.col("toxic") == 1).alias("figure"), F.when(F.col("quality") == 1, "Confirmed").otherwise("Suspect").alias("impression"))
+    pages = load(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("doc"), (F.col("doc_id") % 11).alias("page"))
+    return corpus.page_status(pages, labels)
+
+
+@query("""SELECT doc, page, cost, (sum(cost) OVER w)::BIGINT AS done, (sum(cost) OVER w - cost)::BIGINT AS start FROM (SELECT doc_id % 30 AS doc, doc_id AS page, n_chars AS cost FROM documents) WINDOW w AS (PARTITION BY doc ORDER BY cost, page ROWS UNBOUNDED PRECEDING)""")
+def cheapest_first(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    pages = load(spark, sf_dir, "documents").select((F.col("doc_id") % 30).alias("doc"), F.col("doc_id").alias("page"), F.col("n_chars").alias("cost"))
+    return corpus.cheapest_first(pages, "cost")
+
+
+@query("""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\(?[0-9][0-9,]*\\)?')) AS t FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, length(text) - length(text) // 2), '\\(?[0-9][0-9,]*\\)?')) AS t FROM documents),
+x AS (SELECT doc_id, regexp_replace(t, '[^0-9]', '', 'g') AS t, count(*) AS n FROM a GROUP BY 1, 2), y AS (SELECT doc_id, regexp_replace(t, '[^0-9]', '', 'g') AS t, count(*) AS m FROM b GROUP BY 1, 2)
+SELECT doc_id AS table_id, sum(coalesce(n, 0))::BIGINT AS n_a, sum(coalesce(m, 0))::BIGINT AS n_b, sum(abs(coalesce(n, 0) - coalesce(m, 0)))::BIGINT AS differ FROM x FULL JOIN y USING (doc_id, t) GROUP BY 1""")
+def number_difference(spark, sf_dir):
+    from spandrel.operators import corpus
+
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_id"), "text")
+    half = docs.select("table_id", F.expr("substr(text, 1, length(text) - length(text) div 2)").alias("text"))
+    return corpus.number_difference(docs, half).drop("hint")
