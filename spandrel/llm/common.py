@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 4000
 
 
+#: Caches of scratch arrays that a task leaves behind.
+SCRATCH: list = []
+
+
 def lean(run):
     """run(batches) that hands its memory back when a task ends: Python workers live on and would keep their peak."""
 
@@ -23,6 +27,8 @@ def lean(run):
 
         import pyarrow as pa
 
+        for cached in SCRATCH:
+            cached.cache_clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:

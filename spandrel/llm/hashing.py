@@ -7,6 +7,8 @@ import functools
 import numpy as np
 import pyarrow as pa
 
+from spandrel.llm.common import SCRATCH
+
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 2**64)
 U = np.uint64
@@ -27,6 +29,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+SCRATCH.append(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(20, int(n).bit_length())
     return _powers(size)
