@@ -60,6 +60,8 @@ def test_bpe_query_columns(spark):
         ids = np.array(enc.encode_ordinary(text or ""), "<u4")
         assert tuple(row)[1:] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
     assert bpe.decode(bpe.encode(make(spark, []))).count() == 0
+    both = bpe.digests(bpe.code(make(spark, texts).withColumn("ids", F.lit("clash")))).orderBy("doc_id").collect()
+    assert both == out
 
 
 def test_counts_follow_edits():
