@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts of a few KB come to some MB.
 BATCH_ROWS = 4000
+#: Edges that make a node a hub at least.
+HUB = 10_000
 
 
 #: Caches of scratch arrays that a task leaves behind.
@@ -95,7 +97,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the edge list, written to the shared folder; nothing but two numbers per round reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = save(e, "edges")
+    e, spark = save(e, "edges"), edges.sparkSession
 
     def signature(x: DataFrame):
         return tuple(x.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -103,8 +105,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = signature(e)
     while now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        # nodes with very many edges would each fill a task of the join; there are at most 2000 of them, and they are looked up
+        hubs = [(r["u"], r["m"]) for r in least.where(F.col("n") > max(HUB, now[0] // 1000)).select("u", "m").collect()]
+        if hubs:
+            table = F.broadcast(spark.createDataFrame(hubs, least.select("u", "m").schema))
+            near = both.join(table, "u").unionByName(both.join(table.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
+        else:
+            near = both.join(least.select("u", "m"), "u")
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = save(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")

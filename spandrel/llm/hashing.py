@@ -50,7 +50,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[borders[0] : borders[-1]], borders - borders[0]
 
 
-def chunks(borders: np.ndarray, most: int = 1 << 20):
+def chunks(borders: np.ndarray, most: int = 1 << 19):
     """Ranges of texts that come to about `most` bytes; a longer text stands alone."""
     k, n = 0, len(borders) - 1
     while k < n:
