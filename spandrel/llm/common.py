@@ -88,6 +88,23 @@ def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
     return parts.join(F.broadcast(table), "_pid").withColumn(out, F.col("_first") + F.col("_i")).drop("_pid", "_i", "_first")
 
 
+def told_apart(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with column `out`, a number for each different (id, text), in the order of ids; null where the id is.
+
+    It is the id itself unless an id has several texts: then the place of (id, hash of the text) among all of them.
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_p"), F.xxhash64(F.lit(1), F.reverse(text)).alias("_q")).where("_id IS NOT NULL")
+    rows, different = ids.agg(F.count("_id"), F.count_distinct("_id")).first()
+    if rows > different:
+        texts = save(ids.distinct(), "texts")
+        rows, different = texts.agg(F.count("_id"), F.count_distinct("_id")).first()
+    if rows == different:
+        return docs.withColumn(out, F.col(doc_id).cast("long"))
+    places = ranked(texts, [F.col("_id"), F.col("_p"), F.col("_q")], out)
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_p": F.xxhash64(text), "_q": F.xxhash64(F.lit(1), F.reverse(text))})
+    return save(keyed.join(places, ["_id", "_p", "_q"], "left").drop("_id", "_p", "_q"), "apart")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (id, component): component is the smallest id reachable. Ids without an edge are absent.
 

@@ -251,6 +251,14 @@ def test_lines_with_odd_ids(spark):
     assert got == {-5: "same line here\nown", 2**62: "", None: "same line here"}
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    texts = ["own one\nsame line here", "same line here\nown line two", "own one\nsame line here", "same line here\nof the end"]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup(make(spark, texts, ids=[7, 7, 7, 9])).collect())
+    # whichever text of id 7 comes first keeps the line they share; rows equal in id and text are one document
+    first, second = [(7, "own one\nsame line here")] * 2 + [(7, "own line two")], [(7, "own one")] * 2 + [(7, "same line here\nown line two")]
+    assert got in (sorted(first + [(9, "of the end")]), sorted(second + [(9, "of the end")]))
+
+
 # --- n-gram join ---
 
 
