@@ -91,8 +91,9 @@ def through_markdown(state: State) -> State:
 def merged(state: State) -> State:
     """All regions of a page as one, each side the median of theirs; a page with a single region is an error."""
     out = L.merge_regions(state["regions"], ["doc", "page"])
-    if out.isEmpty():
-        raise ValueError("merge needs at least two regions on a page")
+    single = state["regions"].groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    if out.isEmpty() or not single.isEmpty():
+        raise ValueError("merge needs at least two regions on every page that has any")
     return {"regions": out.withColumns({"region_id": F.concat_ws("#", "doc", "page", F.lit("merged")), "role": F.lit("Table")})}
 
 

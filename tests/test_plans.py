@@ -102,3 +102,10 @@ def test_support(spark):
     spans = spark.createDataFrame([("d", 1, 0, "1,250", [10.0, 0.0, 20.0, 5.0])], "doc string, page int, ord int, text string, b array<float>").withColumn("bbox", S.G.box_of(F.col("b")))
     claims = spark.createDataFrame([(i, "d", 1, t, [0.0, 0.0, 50.0, 10.0]) for i, t in enumerate(["1250", "9,999", ""])], "claim_id int, doc string, page int, asserted string, b array<float>").withColumn("bbox", S.G.box_of(F.col("b"))).drop("b")
     assert [r.supported for r in D.answer_support(claims, spans).orderBy("claim_id").collect()] == [True, False, False]
+
+
+def test_merge_loses_no_single_region(spark):
+    r = spark.createDataFrame([("d", 1, [0.0, 0.0, 9.0, 9.0]), ("d", 1, [0.0, 0.0, 9.0, 7.0]), ("d", 2, [1.0, 1.0, 5.0, 5.0])], "doc string, page int, b array<float>").withColumn("bbox", S.G.box_of(F.col("b"))).drop("b")
+    with pytest.raises(ValueError):
+        O.merged({"regions": r})
+    assert O.merged({"regions": r.where("page = 1")})["regions"].count() == 1
