@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions import geometry as G
+from spandrel.functions.text import content_id
 
 TEXT_CHARS, FEW_CHARS, BLANK_STDDEV = 150, 25, 5.0
 
@@ -21,7 +22,8 @@ def counts(pages: DataFrame, keys: list) -> DataFrame:
 
 def ocr_markers(pages: DataFrame) -> DataFrame:
     """A marker the size of the page for every page whose content needs OCR: none is silently left out."""
-    return pages.where("klass = 'image_content'").select("doc", "page", F.lit("OcrDeferred").alias("status"), G.box(0, 0, F.col("width"), F.col("height")).alias("bbox"))
+    found = pages.where("klass = 'image_content'").select("doc", "page", F.lit("OcrDeferred").alias("status"), G.box(0, 0, F.col("width"), F.col("height")).alias("bbox"))
+    return found.withColumn("artifact_id", content_id(F.concat_ws("|", F.lit("ImageRef"), "doc", "page", F.to_json("bbox")), F.lit(0)))
 
 
 def figure_markers(regions: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import geometry as G
@@ -38,6 +39,23 @@ def artifacts(state: O.State, generation: int = 0, extractor: str = "pdf-text")
     )
 
 
+def logged(rows: DataFrame, kind: str, payload: Column, generation: int = 0) -> DataFrame:
+    """rows (doc and, where they have them, page, bbox, status, parents and artifact_id) as registry artifacts of a kind."""
+    have = lambda c, other: F.col(c) if c in rows.columns else other
+    page, bbox, gen = have("page", F.lit(1)).cast("int"), have("bbox", F.lit(None)).cast(G.BOX_TYPE), F.lit(generation)
+    own = have("artifact_id", content_id(F.concat_ws("|", F.lit(kind), "doc", page, F.to_json(bbox), payload), gen))
+    return rows.select(
+        own.alias("artifact_id"), own.alias("element_id"), gen.alias("generation"), "doc", page.alias("page"), bbox.alias("bbox"), F.sha2(payload, 256).alias("content_hash"), have("status", F.lit("ok")).alias("status"), F.lit(kind).alias("kind"),
+        F.lit(False).alias("is_manual"), have("parents", F.array()).cast("array<string>").alias("parents"), payload.alias("payload"), F.struct(page.alias("page"), own.alias("table_id")).alias("ord"),
+    )
+
+
+def documents(elements: DataFrame) -> DataFrame:
+    """The prose of each document as an artifact: its elements in order, as JSON."""
+    listed = F.to_json(F.array_sort(F.collect_list(F.struct("ord", "role", "text", "page", "bbox"))))
+    return logged(elements.groupBy("doc").agg(listed.alias("listed")), "Document", F.col("listed"))
+
+
 def adjudicate_and_append(state: O.State, registry: V.Registry, generation: int = 0) -> DataFrame:
     """Check every table, judge it as the sole candidate of its element, and log both. Returns the verdicts."""
     rows = artifacts(state, generation).persist()
@@ -140,14 +158,28 @@ def triage(pages: DataFrame) -> DataFrame:
     return pages.withColumn("klass", P.page_class(F.col("chars"), F.coalesce("stddev", F.lit(100.0))))
 
 
-def pipeline(pages: DataFrame, docling: DataFrame, registry: V.Registry) -> O.State:
-    """Triage, markers for what needs OCR, tables and prose of the text pages, all logged. Detectors don't run on this path."""
+def pipeline(pages: DataFrame, docling: DataFrame, registry: V.Registry, log: tuple = ("tables",)) -> O.State:
+    """Triage, markers for what needs OCR, tables, prose and regions of the text pages. Detectors don't run on this path.
+
+    `log` says what goes to the registry, in one write: any of markers, tables, prose and regions (the reference's command
+    logs the first three, and regions on request). Prose without a place stays: it has no page to be judged by.
+    """
     classed = triage(pages)
     state = import_docling(docling)
     wanted = classed.where("klass = 'text'").select("doc", "page")
-    state["tables"] = state["tables"].join(wanted, ["doc", "page"], "left_semi")
+    unplaced = state["elements"].where(F.col("bbox") == G.box(0, 0, 0, 0))
+    unplaced = unplaced.join(wanted, ["doc", "page"], "left_anti")
+    for name in ("tables", "regions", "elements"):
+        state[name] = state[name].join(wanted, ["doc", "page"], "left_semi")
+    state["elements"] = state["elements"].unionByName(unplaced.select(*state["elements"].columns))
     state["markers"] = P.ocr_markers(classed)
-    registry.append(artifacts(state))
+    kinds = {
+        "markers": lambda: logged(state["markers"], "ImageRef", F.lit("")),
+        "tables": lambda: artifacts(state).drop("table_id"),
+        "prose": lambda: documents(state["elements"]),
+        "regions": lambda: logged(state["regions"], "Region", F.to_json(F.struct("ord", "label", "role"))),
+    }
+    registry.append(functools.reduce(DataFrame.unionByName, [kinds[k]() for k in log]))
     return state
 
 

@@ -109,3 +109,16 @@ def test_merge_loses_no_single_region(spark):
     with pytest.raises(ValueError):
         O.merged({"regions": r})
     assert O.merged({"regions": r.where("page = 1")})["regions"].count() == 1
+
+
+def test_pipeline_logs_markers_prose_and_regions(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 1, 612.0, 792.0, 500, None), ("d", 3, 612.0, 792.0, 0, 50.0)], "doc string, page int, width double, height double, chars long, stddev double")
+    registry = Registry(spark, str(tmp_path / "reg"))
+    s = C.pipeline(pages, rows(spark, DOCLING, S.DOCLING), registry, ("markers", "tables", "prose", "regions"))
+    got = registry.observations.collect()
+    assert sorted(r.kind for r in got) == ["Document", "HtmlTable", "ImageRef", "Region", "Region", "Region"]
+    image, prose = (next(r for r in got if r.kind == k) for k in ("ImageRef", "Document"))
+    assert (image.page, image.status, image.artifact_id) == (3, "OcrDeferred", s["markers"].first().artifact_id)
+    assert [e["text"] for e in json.loads(prose.payload)] == ["H", "item A", "item B", "in figure"]
+    blank = C.pipeline(pages.where("page = 3"), rows(spark, DOCLING, S.DOCLING), Registry(spark, str(tmp_path / "two")))
+    assert sorted(r.text for r in blank["elements"].collect()) == ["in figure", "item A", "item B"] and blank["regions"].count() == 0
