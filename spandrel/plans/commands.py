@@ -137,10 +137,13 @@ def impressions(state: O.State) -> DataFrame:
     return explain(state).groupBy("impression").agg(F.count(F.lit(1)).alias("n"))
 
 
-def import_docling(docs: DataFrame) -> O.State:
-    """Tables, cells, regions and elements from docling rows (doc and its columns)."""
+def import_docling(docs: DataFrame, registry: V.Registry | None = None) -> O.State:
+    """Tables, cells, regions and elements from docling rows (doc and its columns); tables are adjudicated and logged."""
     tables, cells = S.docling_tables(docs)
-    return {"tables": tables, "cells": cells, "regions": S.docling_regions(docs), "elements": S.docling_elements(docs)}
+    state = {"tables": tables, "cells": cells, "regions": S.docling_regions(docs), "elements": S.docling_elements(docs)}
+    if registry:
+        adjudicate_and_append(state, registry)
+    return state
 
 
 def segment(words: DataFrame, keys: list) -> DataFrame:
@@ -183,30 +186,51 @@ def pipeline(pages: DataFrame, docling: DataFrame, registry: V.Registry, log: tu
     return state
 
 
-def materialize(state: O.State) -> tuple[DataFrame, DataFrame]:
-    """Typed cells and column names, section rows promoted."""
+def of_documents(made: DataFrame, elements: DataFrame) -> DataFrame:
+    """made (doc, ...) with parents: the artifact of its document's prose."""
+    return made.join(documents(elements).select("doc", F.array("artifact_id").alias("parents")), "doc")
+
+
+def materialize(state: O.State, registry: V.Registry | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed cells and column names, section rows promoted; logged as one derived artifact a table."""
     grid = Y.promote_sections(T.model(state["tables"], state["cells"]))
-    return Y.materialize(grid), Y.column_names(grid)
+    typed, names = Y.materialize(grid), Y.column_names(grid)
+    if registry:
+        listed = lambda df, name: df.groupBy("table_id").agg(F.to_json(F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in df.columns if c != "table_id"]))))).alias(name))
+        parts = artifacts(state).select("table_id", "doc", "page", "bbox", F.array("artifact_id").alias("parents"))
+        parts = parts.join(listed(names, "names"), "table_id", "left").join(listed(typed, "typed"), "table_id", "left")
+        registry.append(logged(parts, "DbTable", F.to_json(F.struct("names", "typed")), 1))
+    return typed, names
 
 
-def text(elements: DataFrame, summary: bool = False) -> DataFrame:
-    return M.summary(elements, ["doc"]) if summary else M.document_markdown(elements, ["doc"])
+def text(elements: DataFrame, summary: bool = False, registry: V.Registry | None = None) -> DataFrame:
+    made = M.summary(elements, ["doc"]) if summary else M.document_markdown(elements, ["doc"])
+    if registry:
+        registry.append(logged(of_documents(made, elements), "Summary" if summary else "Text", F.col("summary" if summary else "markdown"), 1))
+    return made
 
 
-def enrich(elements: DataFrame, kind: str, registry_enrichments: DataFrame) -> DataFrame:
+def enrich(elements: DataFrame, kind: str, registry_enrichments: DataFrame, registry: V.Registry | None = None) -> DataFrame:
     """New enrichments of a kind (doc as source): what is on record already is not made again."""
     work = V.enrichment_work(elements.select(F.lit(kind).alias("kind"), F.col("doc").alias("source")).distinct(), registry_enrichments)
     made = M.summary(elements, ["doc"]).withColumnRenamed("doc", "source").join(work, "source")
-    return made.select("kind", "source", content_id(F.concat(F.lit("enrich:"), "kind", F.lit(":"), "source"), F.lit(1)).alias("artifact_id"), F.col("summary").alias("text"))
+    made = made.select("kind", "source", content_id(F.concat(F.lit("enrich:"), "kind", F.lit(":"), "source"), F.lit(1)).alias("artifact_id"), F.col("summary").alias("text"))
+    if registry:
+        registry.append(logged(of_documents(made.withColumn("doc", F.col("source")), elements), "Enrichment", F.col("text"), 1))
+    return made
 
 
 def ls(registry: V.Registry) -> DataFrame:
     return M.previews(registry.current().withColumn("text", F.col("payload"))).select("element_id", "kind", "generation", "page", "preview")
 
 
-def ocr(markers: DataFrame, texts: DataFrame) -> DataFrame:
-    """Recognized texts (artifact_id, text) as enrichments of the images that wait for them."""
-    return markers.join(texts, "artifact_id").select(F.lit("ocr").alias("kind"), F.col("artifact_id").alias("source"), "text")
+def ocr(markers: DataFrame, texts: DataFrame, registry: V.Registry | None = None) -> DataFrame:
+    """Recognized texts (artifact_id, text) as enrichments of the images that wait for them; blank ones are not logged."""
+    found = markers.join(texts, "artifact_id").withColumn("parents", F.array("artifact_id"))
+    if registry:
+        read = found.where(F.trim("text") != "").select("doc", "page", "bbox", "parents", "text")
+        registry.append(logged(read, "Enrichment", F.col("text"), 1))
+    return found.select(F.lit("ocr").alias("kind"), F.col("artifact_id").alias("source"), "text")
 
 
 def timed(stages: list) -> tuple[list, list]:

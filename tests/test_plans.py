@@ -122,3 +122,20 @@ def test_pipeline_logs_markers_prose_and_regions(spark, tmp_path):
     assert [e["text"] for e in json.loads(prose.payload)] == ["H", "item A", "item B", "in figure"]
     blank = C.pipeline(pages.where("page = 3"), rows(spark, DOCLING, S.DOCLING), Registry(spark, str(tmp_path / "two")))
     assert sorted(r.text for r in blank["elements"].collect()) == ["in figure", "item A", "item B"] and blank["regions"].count() == 0
+
+
+def test_derived_artifacts_are_logged(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 1, 612.0, 792.0, 500, None), ("d", 3, 612.0, 792.0, 0, 50.0)], "doc string, page int, width double, height double, chars long, stddev double")
+    docling, registry = rows(spark, DOCLING, S.DOCLING), Registry(spark, str(tmp_path / "reg"))
+    C.import_docling(docling, registry)
+    assert registry.observations.count() == 1 and registry.verdicts.count() == 1
+    s = C.pipeline(pages, docling, registry, ("markers", "prose"))
+    C.materialize(s, registry)
+    C.text(s["elements"], registry=registry)
+    C.enrich(s["elements"], "summary", spark.createDataFrame([], "kind string, source string"), registry)
+    C.ocr(s["markers"], s["markers"].select("artifact_id", F.lit("read").alias("text")), registry)
+    got = registry.observations.collect()
+    ids = {r.artifact_id: r.kind for r in got}
+    derived = sorted((r.kind, [ids[p] for p in r.parents]) for r in got if r.generation == 1)
+    assert derived == [("DbTable", ["HtmlTable"]), ("Enrichment", ["Document"]), ("Enrichment", ["ImageRef"]), ("Text", ["Document"])]
+    assert registry.lineage.count() == 4
