@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Rows in an Arrow batch: texts of a few KB come to some MB.
+#: An Arrow batch ends at so many rows or bytes, whichever comes first; a longer row is a batch of its own.
 BATCH_ROWS = 4000
+BATCH_BYTES = 4 << 20
 
 
 #: Caches of scratch arrays that a task leaves behind.
@@ -21,12 +22,13 @@ def lean(run):
     """run(batches) that hands its memory back when a task ends: Python workers live on and would keep their peak."""
 
     def wrapped(batches):
-        yield from run(batches)
         import ctypes
         import gc
 
         import pyarrow as pa
 
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed goes back at once
+        yield from run(batches)
         for cached in SCRATCH:
             cached.cache_clear()
         gc.collect()
@@ -45,13 +47,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. The setting stays: Spark reads it when a plan runs, which is after we return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh temporary one only where none is set (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir; a fresh temporary one only on one machine where none is set (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="spandrel-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -62,7 +68,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    SAVED.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+#: Folders of saved tables that are still there.
+SAVED: set = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    SAVED.discard(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more: what was made of them has to be saved itself."""
+    for table in tables:
+        _delete(table.sparkSession, table.saved_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this process has saved. Results not written or collected yet can't be read afterwards."""
+    for path in list(SAVED):
+        _delete(spark, path)
 
 
 def sorted_parts(df: DataFrame, *order) -> DataFrame:
@@ -105,27 +136,51 @@ def told_apart(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc
     return save(keyed.join(places, ["_id", "_p", "_q"], "left").drop("_id", "_p", "_q"), "apart")
 
 
+#: Ids with more edges than this, and than one in 2**HUB_BITS of all edges, are dealt over several tasks.
+HUB = 512
+HUB_BITS = 13
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (id, component): component is the smallest id reachable. Ids without an edge are absent.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Every round is two aggregates and two joins on
-    the edge list, written to the shared folder; nothing but two numbers per round reaches the driver.
+    Alternating large and small stars (Kiveris et al., 2014) over edges u > v. Large star: v gives way to its least
+    neighbour. Small star: the neighbours below u are tied to the least of them. No task meets all edges of a hub: a hub on
+    the v side gets its least neighbour by broadcast, and one on the u side is starred in parts, which leaves it one edge a
+    part for the next round. There are under 2**(HUB_BITS + 1) hubs, whatever the number of edges. Every round is written to
+    the shared folder; two numbers and the hubs reach the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = save(e, "edges")
-
-    def signature(x: DataFrame):
-        return tuple(x.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-
-    now = signature(e)
+    spark = edges.sparkSession
+    e = save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    now = _signature(e)
     while now[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        was, now = now, signature(e)
+        most = max(HUB, now[0] >> HUB_BITS)
+        ends = e.select(F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("u").alias("x")), F.struct(F.lit(1).alias("end"), F.col("v").alias("x")))).alias("s"))
+        busy = ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("s.end", "s.x", "n").collect() if now[0] > most else []
+        hubs = [spark.createDataFrame([(r["x"], -(-r["n"] // most)) for r in busy if r["end"] == end], "x long, parts long") if any(r["end"] == end for r in busy) else None for end in (0, 1)]
+        low = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        if hubs[1] is None:
+            large = e.join(low, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        else:
+            known = hubs[1].join(F.broadcast(low.join(F.broadcast(hubs[1].select("x")), F.col("k") == F.col("x")).select("k", F.col("m").alias("hm"))), F.col("x") == F.col("k"), "left").select("x", "hm")
+            spread = e.join(F.broadcast(known), F.col("v") == F.col("x"), "left")
+            # rows of a hub carry a second key that nothing on the other side has, so they go anywhere and match nothing
+            spread = spread.withColumn("_s", F.when(F.col("x").isNotNull(), 1 + F.pmod(F.xxhash64("u"), F.lit(1 << 20))).otherwise(0))
+            low = low.withColumn("_z", F.lit(0).cast("long"))
+            large = spread.join(low, (F.col("v") == F.col("k")) & (F.col("_s") == F.col("_z")), "left").select("u", F.coalesce("hm", "m", "v").alias("v"))
+        keys = ["u"]
+        if hubs[0] is not None:
+            large = large.join(F.broadcast(hubs[0]), F.col("u") == F.col("x"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("_p"))
+            keys = ["u", "_p"]
+        least = large.withColumn("m", F.min("v").over(Window.partitionBy(*keys)))
+        was, old = now, e
+        e = save(least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        release(old)
+        now = _signature(e)
         if was == now:
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def _signature(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())

@@ -5,7 +5,9 @@ places each row in its source's sequence. A source's budget is whole epochs of t
 further one, so the last row may be taken in part.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source is a source of its own, last in order;
-repeated rows are separate rows; an empty table gives an empty result; columns named like the outputs are replaced.
+repeated rows are separate rows; rows that share an id, or have none, are ordered by their size and a checksum of their
+text, so reruns agree whatever the order of the input (rows alike in source, id and text may swap places); an empty table
+gives an empty result; columns named like the outputs are replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import lean, read, save, sorted_parts
+from spandrel.llm.common import lean, read, release, save, sorted_parts
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+MOST_SOURCES = 100_000
+OUTPUTS = ("size", "source_size", "target", "taken")
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,8 +32,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.concat(F.lit(SEED), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 16)
+def random_key(doc_id: Column, check: Column) -> Column:
+    """By id alone; rows without one are told apart by the checksum, or they would all have the same key."""
+    return F.substring(F.md5(F.concat(F.lit(SEED), F.lit(":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), check.cast("string")), F.lit("")))), 1, 16)
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS) -> dict:
@@ -68,32 +73,44 @@ def _running(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "_before"])
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None) -> DataFrame:
-    """docs with size, source_size, target and taken (words the mix takes, repeats counted). size: a ready column instead of text.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None, check: str | None = None) -> DataFrame:
+    """docs with size, source_size, target and taken (words the mix takes, repeats counted).
 
-    One row per source is gathered on the driver to set the targets; all else stays distributed.
+    size and check: ready columns with the text's word count and a checksum, used instead of the text. One row per source,
+    MOST_SOURCES at most, is gathered on the driver to set the targets; all else stays distributed.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"size": F.col(size) if size else word_count(F.col(text)), "source": F.col(source), "_key": random_key(F.col(doc_id))})
-    totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    checksum = F.col(check) if check else F.xxhash64(text) if size is None else F.lit(0)
+    sized = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), (F.col(size) if size else word_count(F.col(text))).alias("size"), F.col(source).alias("source"),
+        random_key(F.col(doc_id), checksum).alias("key"), F.col(doc_id).alias("id"), checksum.alias("check"),
+    )
+    # totals, the sort's sample and the sort itself all read the sizes: texts are counted once
+    ready = sized if size else save(sized, "sized")
+    totals = {r["source"]: r["n"] for r in ready.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     aims = targets(totals)
-    parts = sorted_parts(sized, F.col("source").asc_nulls_last(), "_key", F.col(doc_id)).drop("_i")
+    parts = sorted_parts(ready, F.col("source").asc_nulls_last(), "key", "id", "size", "check").drop("_i", "key", "id", "check")
     parts = save(parts.mapInArrow(lean(_running), T.StructType([*parts.schema, T.StructField("_before", T.LongType())])), "mix")
+    if ready is not sized:
+        release(ready)
 
     runs = parts.groupBy("_pid", "source").agg(F.sum("size").alias("n"))  # as many rows as partitions and sources together
-    first = runs.selectExpr("_pid", "source AS _source", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _first")
+    first = runs.selectExpr("_pid AS _p", "source AS _source", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _first")
     rows = [(s, totals[s], aims[s], *divmod(round(aims[s]), max(totals[s], 1))) for s in totals]
     plan = spark.createDataFrame(rows, "_name string, source_size long, target double, _epochs long, _rest long")
-    first = first.join(plan, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    out = parts.join(first.withColumnRenamed("_pid", "_p"), (F.col("_pid") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
+    first = first.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_name")))
+    out = parts.join(F.broadcast(first), (F.col("_pid") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_first") - F.col("_before")))
-    return out.withColumn("taken", F.col("size") * F.col("_epochs") + part).drop("_key", "_pid", "_p", "_before", "_source", "_first", "_epochs", "_rest")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in OUTPUTS]
+    return out.select(*kept, "size", "source_size", "target", (F.col("size") * F.col("_epochs") + part).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    narrow = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "sizes")
-    return mix(narrow, size="n").select("doc_id", "size", "source_size", "target", "taken")
+    narrow = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("check")), "sizes")
+    return mix(narrow, size="n", check="check").select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

@@ -184,6 +184,28 @@ def test_mix(spark):
     assert mixing.mix(make(spark, [])).count() == 0
 
 
+def test_mix_is_repeatable_whatever_the_order(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randrange(1, 30)) for _ in range(80)]
+    rows = [(rng.choice([1, 2, 3, None, 50 + k]), t, "en", rng.choice(["a", None]), 0) for k, t in enumerate(texts)]
+    taken = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(rng.randrange(1, 6))
+        taken.append(sorted((str(r.doc_id), r.text, r.taken) for r in mixing.mix(docs).collect()))
+    assert taken[0] == taken[1]
+
+
+def test_mix_with_clashing_columns(spark):
+    rng = random.Random(17)
+    docs = make(spark, [prose(rng, 9) for _ in range(30)])
+    plain = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    names = ["target", "source_size", "taken", "size", "_key", "_pid", "_at", "row", "key", "id", "check", "_first", "_before", "_epochs", "_name", "n"]
+    got = mixing.mix(docs.withColumns({n: F.lit("clash") for n in names}))
+    assert {r.doc_id: r.taken for r in got.collect()} == plain
+    assert got.where("_key = 'clash' AND row = 'clash' AND n = 'clash'").count() == 30 and dict(got.dtypes)["target"] == "double"
+
+
 # --- language ID ---
 
 
