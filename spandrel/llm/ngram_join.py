@@ -9,8 +9,8 @@ prefixes are drawn again should one still fill a bucket, so a passage that many
 that hold the same classes one is kept. In a bucket
 the points are packed into an R-tree; pairs of nodes whose upper corners cannot give the overlap their sizes need are
 dropped, then pairs of points; what survives is kept as a spanning forest. The forests' components (candidate families)
-are then verified on the n-gram sets themselves, again leaving a spanning forest of true links. Buckets and families
-too large for a task are cut into blocks, and every two blocks meet in a task of their own.
+are then verified on the n-gram sets themselves (families.py), again leaving a spanning forest of true links. Buckets too
+large for a task are cut into blocks, and every two blocks meet in a task of their own.
 
 Defined results: A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+; a text without words (or null) has no n-grams and
 links with nothing; one with fewer words than n has its whole sequence as its only n-gram; rows with a null id link with
@@ -19,21 +19,23 @@ nothing of their own; repeated rows fall into one class; an empty table gives an
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm import hashing
-from spandrel.llm.common import components, lean, read, save
+from spandrel.llm.common import components, lean, read, release, save
+from spandrel.llm.families import grouped, sized, spans, verified
 
 WIDTH = 4
 PERCENT = 85
 #: Groups by size of set: counts of larger sets stand out less, so they are kept finer; finer groups nest in coarser ones.
 GROUPS = 64
 FINER = ((1536, 256), (6144, 1024))
-BLOCK = 2048
-FAMILY = 512
+BLOCK = 512
 HOT = 2048
 HOT_SHARE = 0.001
 LEAF = 16
@@ -233,38 +235,7 @@ def bucket_forest(ids: np.ndarray, n: np.ndarray, counts: np.ndarray, fine: list
     return ids[moved], ids[of[moved]]
 
 
-def grouped(batches, width: int):
-    """Streams sorted batches as batches that end where the first `width` columns change."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, table]) if held is not None else table
-        names = held.schema.names[:width]
-        columns = [held[c].to_numpy() for c in names]
-        at = held.num_rows - 1
-        differs = np.zeros(at + 1, bool)
-        for c in columns:
-            differs |= c != c[-1]
-        cut = int(np.nonzero(differs)[0][-1]) + 1 if differs.any() else 0
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def spans(table: pa.Table, width: int) -> np.ndarray:
-    new = np.zeros(table.num_rows + 1, bool)
-    new[0] = new[-1] = True
-    for c in table.schema.names[:width]:
-        v = table[c].to_numpy()
-        new[1:-1] |= v[1:] != v[:-1]
-    return np.nonzero(new)[0]
-
-
-def edges_of(rows, names=("a", "b")):
+def pairs_of(rows, names=("a", "b")):
     a = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
     b = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(names))
@@ -305,37 +276,15 @@ def candidate_edges(classes: DataFrame, percent: int, counted: DataFrame) -> Dat
                         found.append((ids[i : i + 1], ids[j : j + 1]))
             for a, b in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
                 found.append(bucket_forest(ids[a:b], n[a:b], counts[a:b], finest[a:b], percent))
-            out = edges_of(found)
+            out = pairs_of(found)
             pair = np.unique(np.stack([np.minimum(out.column(0), out.column(1)), np.maximum(out.column(0), out.column(1))]), axis=1)
-            yield edges_of([(pair[0], pair[1])])
+            yield pairs_of([(pair[0], pair[1])])
 
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def true_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the members of one family that truly link, found by comparing members of different parts."""
-    parts, a, b = Parts(len(ids)), [], []
-    n = np.array([len(s) for s in sets], np.int64)
-    members: dict[int, set] = {}
-    order = np.argsort(n, kind="stable")
-    for at, i in enumerate(order.tolist()):
-        # members of similar size, the nearest parts' oldest members first
-        for j in order[:at][100 * n[order[:at]] >= percent * n[i]].tolist():
-            if parts.root(i) == parts.root(j):
-                continue
-            for k in (i, j):
-                if k not in members:
-                    members[k] = set(sets[k].tolist())
-            common = len(members[i] & members[j])
-            if 100 * common >= percent * (n[i] + n[j] - common):
-                parts.join(i, j)
-                a.append(ids[i])
-                b.append(ids[j])
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the members (rep, p, q, family, rows) of candidate families, as spanning forests."""
+def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int, repeated: bool) -> list[DataFrame]:
+    """Links among the members (rep, p, q, family, chunks) of candidate families, as spanning forests."""
     small = members.count() <= BROADCAST_ROWS
     named = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep")
 
@@ -347,24 +296,18 @@ def true_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 found = hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)
                 p, q = batch.column(2).to_pylist()[a:b], batch.column(3).to_pylist()[a:b]
                 keep = [a + k for k, u in enumerate(found) if fingerprint(u) == (p[k], q[k])]
-                yield batch.take(pa.array(keep, pa.int64())).select(["rep", "text", "family", "rows"])
+                yield batch.take(pa.array(keep, pa.int64()))
 
-    full = named.select("rep", "text", "p", "q", "family", "rows").mapInArrow(lean(right), "rep long, text string, family long, rows long")
-    dealt = blocks(full, "family", "rows", FAMILY).select("family", "lo", "hi", "rep", "text")  # texts pack better than their sets
-    dealt = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "rep")
+    full = named.select("rep", "text", "p", "q", "family", "chunks").mapInArrow(lean(right), "rep long, body string, p long, q long, family long, chunks int") if repeated else named.withColumnRenamed("text", "body")
+    if repeated:
+        full = full.dropDuplicates(["rep", "p", "q"])
 
-    def run(batches):
-        for table in grouped(batches, 3):
-            ids, cuts = table["rep"].to_numpy(), spans(table, 3)
-            found = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own, first = np.unique(ids[a:b], return_index=True)
-                data, borders = hashing.texts(table["text"].combine_chunks().take(pa.array(a + first)))
-                sets = [u for k, m in hashing.chunks(borders) for u in hashing.word_shingles(data[borders[k] : borders[m]], borders[k : m + 1] - borders[k], width)]
-                found.append(true_forest(own, sets, percent))
-            yield edges_of(found)
+    def sets(bodies):
+        data, borders = hashing.texts(bodies)
+        return [u for a, b in hashing.chunks(borders) for u in hashing.word_shingles(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a], width)]
 
-    return dealt.mapInArrow(lean(run), "a long, b long")
+    # texts pack better than their sets
+    return verified(full, sets, lambda common, n, m: 100 * common >= percent * (n + m - common))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -384,11 +327,19 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
         if not len(new):
             break
         hot = np.concatenate([hot, new])
-    families = components(save(candidate_edges(classes, percent, counted), "candidates"))
-    sizes = families.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("rows"))
-    ids = families.select(F.col("id").alias("rep"), F.col("component").alias("family")).unionByName(sizes.select(F.col("component").alias("rep"), F.col("component").alias("family")))
-    members = ids.join(sizes.withColumnRenamed("component", "family"), "family").join(classes.select("rep", "p", "q"), "rep")
-    parts = components(save(true_edges(docs, save(members, "members"), width, percent), "links"))
+        release(found, classes, counted)
+    candidates = save(candidate_edges(classes, percent, counted), "candidates")
+    families = components(candidates)
+    release(candidates, counted)
+    roots = families.select("component").distinct()
+    ids = families.select(F.col("id").alias("rep"), F.col("component").alias("family")).unionByName(roots.select(F.col("component").alias("rep"), F.col("component").alias("family")))
+    members = save(ids.join(classes.select("rep", "p", "q", F.col("n").cast("long").alias("weight")), "rep"), "members")
+    named = save(members.drop("weight").join(sized(members), "family"), "members")
+    release(members)
+    ids = found.where("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    links = true_edges(docs, named, width, percent, ids[0] > ids[1])
+    parts = components(functools.reduce(DataFrame.unionByName, links))
+    release(named)
     named = classes.select("p", "q", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("p", "q", F.coalesce("component", "rep").alias("component_id"))
     rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("p")).alias("p"), "q")
     rows = rows.join(named, ["p", "q"], "left")

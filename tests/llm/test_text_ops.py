@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spandrel.llm import bpe, counts, hashing, langid, line_dedup, mixing, ngram_join, sharding, token_files
+from spandrel.llm import bpe, counts, families, hashing, langid, line_dedup, mixing, ngram_join, sharding, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and in to a is that for it with as on be at by this from or an".split()
@@ -299,18 +299,18 @@ def grams(text, width=4):
 
 def test_join_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "FAMILY", 8)
+    monkeypatch.setattr(families, "MEMBERS", 8)
     monkeypatch.setattr(ngram_join, "HOT", 25)
     rng = random.Random(10)
     passage = prose(rng, 30)
-    families = [prose(rng, n) for n in (4, 9, 40, 60, 200, 900, 2500)]
+    kinds = [prose(rng, n) for n in (4, 9, 40, 60, 200, 900, 2500)]
     texts = []
     for _ in range(140):
-        words = rng.choice(families).split()
+        words = rng.choice(kinds).split()
         for _ in range(rng.randrange(4)):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         texts.append(" ".join(words))
-    texts += [prose(rng, rng.randrange(60, 90)) + " " + passage for _ in range(60)] + [families[3]] * 20 + ["The of", "the OF", None, "", "  ", "one"]
+    texts += [prose(rng, rng.randrange(60, 90)) + " " + passage for _ in range(60)] + [kinds[3]] * 20 + ["The of", "the OF", None, "", "  ", "one"]
     docs = make(spark, texts).withColumn("n", F.lit("clash"))
     got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
     sets = [grams(t) for t in texts]
@@ -335,3 +335,45 @@ def test_point_tree_loses_no_pair():
     found = {tuple(sorted((int(tree.order[i]), int(tree.order[j])))) for a, b in tree.survivors(np.arange(300), 85) for i, j in zip(a, b)}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if 185 * np.minimum(counts_[i], counts_[j]).sum() >= 85 * (n[i] + n[j]) and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j])}
     assert found == want
+
+
+def test_linked_parts_match_brute_force():
+    rng = np.random.default_rng(13)
+    for k in range(200):
+        base = [rng.choice(400, rng.integers(1, 60), replace=False) for _ in range(rng.integers(1, 5))]
+        sets = []
+        for _ in range(rng.integers(1, 40)):
+            s = base[rng.integers(len(base))].copy()
+            some = rng.random(len(s)) < 0.08
+            s[some] = rng.integers(400, 500, some.sum())
+            sets.append(np.unique(s).astype(np.uint64))
+        linked = lambda common, n, m: 100 * common >= 80 * (n + m - common)
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+        want, got = roots(len(sets), links), families.linked_parts(sets, linked, width=7)
+        assert len({*zip(want, got.tolist())}) == len(set(want)) == len(set(got.tolist()))
+        settled = np.array([w == want[0] for w in want])
+        if settled.sum() > 1:
+            again = families.linked_parts(sets, linked, settled)
+            assert len({*zip(want, again.tolist())}) == len(set(want)) == len(set(again.tolist()))
+
+
+def test_large_families_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(families, "MEMBERS", 10)
+    rng = random.Random(14)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    texts = []
+    for k in range(90):  # a chain of small changes: the anchor is linked with few of them
+        base = base[:k] + rng.choice("xyz") + base[k + 1 :] if k % 3 else base
+        texts.append(base)
+    links = [(a, b) for a in range(90) for b in range(a) if (lambda x, y: len(x & y) >= 0.8 * len(x | y))(*(set(line_dedup.shingles(texts[k]).tolist()) for k in (a, b)))]
+    want = roots(90, links)
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup(make(spark, texts)).collect()}
+    assert [got[k] for k in range(90)] == [int(want[k] == k) for k in range(90)]
+    assert sum(b == 0 for _, b in links) < 60 and len(set(want)) < 30
+
+
+def test_join_of_texts_that_share_an_id(spark):
+    rng = random.Random(15)
+    one, two = prose(rng, 60), prose(rng, 60)
+    got = ngram_join.join(make(spark, [one, two, one, two + " end", one + " end"], ids=[4, 4, 4, 9, 7])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(4, 4), (4, 4), (4, 4), (7, 4), (9, 4)]
