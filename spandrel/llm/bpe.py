@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from spandrel.llm.common import lean, read
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF = 1 << 14
+#: Characters, and ids in decoding, of a leaf: short enough that most texts are put together from several.
+LEAF = 512
 WINDOW = 64
 NONE = np.zeros(0, np.uint32)
 

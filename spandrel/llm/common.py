@@ -119,6 +119,23 @@ def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
     return parts.join(F.broadcast(table), "_pid").withColumn(out, F.col("_first") + F.col("_i")).drop("_pid", "_i", "_first")
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of docs, and all others inside one struct, where their names clash with nothing."""
+    others = [c for c in docs.columns if c not in names]
+    rest = "_rest"
+    while rest in docs.columns:
+        rest += "_"
+    return docs.select(*names, F.struct(F.lit(None).cast("boolean").alias("_"), *(F.col(f"`{c}`") for c in others)).alias(rest))
+
+
+def unpacked(found: DataFrame, columns: list[str], **made) -> DataFrame:
+    """The columns that packed was given, in their order, and those of `made` (new, or in place of one of the same name)."""
+    rest = max((c for c in found.columns if c.rstrip("_") == "_rest"), key=len)
+    inside = found.schema[rest].dataType.names[1:]
+    own = {c: F.col(rest)[c] if c in inside else F.col(f"`{c}`") for c in columns}
+    return found.select(*(c.alias(name) for name, c in (own | made).items()))
+
+
 def told_apart(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with column `out`, a number for each different (id, text), in the order of ids; null where the id is.
 

@@ -198,7 +198,7 @@ def identify(docs: DataFrame, net: dict | None, text: str = "text") -> DataFrame
         return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of tables, rows by label
     where = out.columns.index(text)
-    asked = out.withColumn("_letter", has_letter(F.col(text)))
+    asked = out.select(*(F.col(f"`{c}`") for c in out.columns), has_letter(F.col(text)).alias("_" * (1 + max(map(len, out.columns)))))
 
     def run(batches):
         model = shared.value
