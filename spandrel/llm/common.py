@@ -96,6 +96,15 @@ def clean_up(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A frame of a few rows from the driver, by Arrow: rows as Python objects would start Python workers to be read."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(fields)}))
+
+
 def sorted_parts(df: DataFrame, *order) -> DataFrame:
     """df range-partitioned and sorted by `order`, with columns _pid (rank of the partition) and _i (row within it)."""
     at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
@@ -114,7 +123,7 @@ def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
     for pid, n in counts:
         offsets.append((pid, first))
         first += n
-    table = df.sparkSession.createDataFrame(offsets, "_pid long, _first long")
+    table = small_table(df.sparkSession, "_pid long, _first long", offsets)
     # one row per partition of the sort: its size is that of the partition list, not of the data
     return parts.join(F.broadcast(table), "_pid").withColumn(out, F.col("_first") + F.col("_i")).drop("_pid", "_i", "_first")
 
@@ -174,7 +183,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         most = max(HUB, now[0] >> HUB_BITS)
         ends = e.select(F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("u").alias("x")), F.struct(F.lit(1).alias("end"), F.col("v").alias("x")))).alias("s"))
         busy = ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("s.end", "s.x", "n").collect() if now[0] > most else []
-        hubs = [spark.createDataFrame([(r["x"], -(-r["n"] // most)) for r in busy if r["end"] == end], "x long, parts long") if any(r["end"] == end for r in busy) else None for end in (0, 1)]
+        hubs = [small_table(spark, "x long, parts long", [(r["x"], -(-r["n"] // most)) for r in busy if r["end"] == end]) if any(r["end"] == end for r in busy) else None for end in (0, 1)]
         low = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         if hubs[1] is None:
             large = e.join(low, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
@@ -182,8 +191,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             known = hubs[1].join(F.broadcast(low.join(F.broadcast(hubs[1].select("x")), F.col("k") == F.col("x")).select("k", F.col("m").alias("hm"))), F.col("x") == F.col("k"), "left").select("x", "hm")
             spread = e.join(F.broadcast(known), F.col("v") == F.col("x"), "left")
             # rows of a hub carry a second key that nothing on the other side has, so they go anywhere and match nothing
-            spread = spread.withColumn("_s", F.when(F.col("x").isNotNull(), 1 + F.pmod(F.xxhash64("u"), F.lit(1 << 20))).otherwise(0))
-            low = low.withColumn("_z", F.lit(0).cast("long"))
+            spread = spread.withColumn("_s", F.when(F.col("x").isNotNull(), 1 + F.pmod(F.xxhash64("u"), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
+            low = low.withColumn("_z", F.pmod("k", F.lit(1)))  # always 0, but a literal would be folded out of the join's keys
             large = spread.join(low, (F.col("v") == F.col("k")) & (F.col("_s") == F.col("_z")), "left").select("u", F.coalesce("hm", "m", "v").alias("v"))
         keys = ["u"]
         if hubs[0] is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import lean, read, release, save, sorted_parts
+from spandrel.llm.common import lean, read, release, save, small_table, sorted_parts
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     runs = parts.groupBy("_pid", "source").agg(F.sum("size").alias("n"))  # as many rows as partitions and sources together
     first = runs.selectExpr("_pid AS _p", "source AS _source", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY _pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _first")
     rows = [(s, totals[s], aims[s], *divmod(round(aims[s]), max(totals[s], 1))) for s in totals]
-    plan = spark.createDataFrame(rows, "_name string, source_size long, target double, _epochs long, _rest long")
+    plan = small_table(spark, "_name string, source_size long, target double, _epochs long, _rest long", rows)
     first = first.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_name")))
     out = parts.join(F.broadcast(first), (F.col("_pid") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_first") - F.col("_before")))

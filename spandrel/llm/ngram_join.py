@@ -32,10 +32,11 @@ from spandrel.llm.families import grouped, sized, spans, verified
 
 WIDTH = 4
 PERCENT = 85
-#: Groups by size of set: counts of larger sets stand out less, so they are kept finer; finer groups nest in coarser ones.
+#: Groups by size of set: counts of larger sets stand out less, so they are kept finer, about 8 members a group and less;
+#: finer groups nest in coarser ones. With three times as many, unrelated sets come within the bound.
 GROUPS = 64
-FINER = ((1536, 256), (6144, 1024))
-BLOCK = 512
+FINER = ((512, 256), (2048, 1024), (8192, 4096), (32768, 16384))
+BLOCK = 256
 HOT = 2048
 HOT_SHARE = 0.001
 LEAF = 16

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import lean, read, save, sorted_parts
+from spandrel.llm.common import lean, read, save, small_table, sorted_parts
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -268,7 +268,7 @@ def starts(files: DataFrame) -> DataFrame:
     for r in sorted(files.select("part", "seq", "n_ids").collect()):
         rows.append((r["part"], r["seq"], at))
         at += r["n_ids"]
-    table = files.sparkSession.createDataFrame(rows, "part long, seq int, start long")
+    table = small_table(files.sparkSession, "part long, seq int, start long", rows)
     return files.join(F.broadcast(table), ["part", "seq"])  # a file holds millions of ids, so there are few files
 
 
