@@ -53,43 +53,56 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _step(state: Column, test, cut) -> Column:
-    """The next state (text, marks): whether test holds of the text goes to the marks, and then cut of the text is kept."""
-    return let(state, lambda s: let(test(s.t), lambda hit: F.struct(F.when(hit, F.trim(cut(s.t))).otherwise(s.t).alias("t"), F.concat(s.marks, F.array(hit)).alias("marks"))))
+#: What a step of parse_number is called in the audit trail, and the scale letters.
+CURRENCY = "$€£¥"
+SCALES = {"k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
+STEPS = {"currency": "strip currency", "bracket": "paren→neg", "percent": "percent", "credit": "CR→neg", "after": "trailing−→neg", "scale": "scale ×", "signed": "signed"}
 
 
 def parse_number(s: Column) -> Column:
     """The typed-table grammar as a struct: value, negative, percent, currency, scale, integral, transforms; null if no number.
 
-    The steps, each seeing what the one before left: currency signs, brackets, percent, CR, DR, minus signs, a scale letter.
+    Each step sees what the one before left: currency signs, brackets, percent, one of CR and DR, a minus behind and one in
+    front, one scale letter.
     """
-    drop = lambda pattern: lambda t: F.regexp_replace(t, pattern, "")
-    has = lambda pattern: lambda t: t.rlike(pattern)
-    state = F.struct(F.trim(F.coalesce(s, F.lit(""))).alias("t"), F.array().cast("array<boolean>").alias("marks"))
-    for pattern, cut in (
-        ("[$€£¥]", drop("[$€£¥]")), (r"^\(.*\)", lambda t: F.regexp_extract(t, r"^\((.*)\)", 1)), ("%$", drop("%$")), ("(?i)cr$", drop("(?i)cr$")),
-        ("(?i)dr$", drop("(?i)dr$")), ("-$", drop("-$")), ("^-", drop("^-")), ("(?i)[0-9].*k$", drop("(?i)k$")), ("(?i)[0-9].*m$", drop("(?i)m$")),
-        ("(?i)[0-9].*b$", drop("(?i)b$")), ("(?i)[0-9].*t$", drop("(?i)t$")),
-    ):
-        state = _step(state, has(pattern), cut)
+    raw = trimmed(F.coalesce(s, F.lit("")))
+
+    def bare_of(t: Column) -> Column:
+        """From the text less currency signs: what stands in brackets, less a percent sign, and what was there."""
+        bracket = t.startswith("(") & F.contains(t, F.lit(")"))
+        inside = trimmed(F.when(bracket, F.regexp_extract(t, r"(?s)^\((.*)\)", 1)).otherwise(t))
+        return let(inside, lambda x: F.struct(trimmed(F.regexp_replace(x, "%$", "")).alias("t"), bracket.alias("bracket"), x.endswith("%").alias("percent")))
+
+    def unsigned(x: Column) -> Column:
+        credit, debit = x.t.rlike("(?i)cr$"), x.t.rlike("(?i)dr$")
+        body = trimmed(F.when(credit | debit, F.regexp_replace(x.t, "(?s)..$", "")).otherwise(x.t))
+
+        def cut(b: Column) -> Column:
+            after = b.endswith("-")
+            front = trimmed(F.when(after, F.regexp_replace(b, "-$", "")).otherwise(b))
+            return let(front, lambda f: F.struct(trimmed(F.regexp_replace(f, "^-", "")).alias("t"), x.bracket.alias("bracket"), x.percent.alias("percent"), credit.alias("credit"), after.alias("after"), f.startswith("-").alias("before")))
+
+        return let(body, cut)
 
     def made(x: Column) -> Column:
-        currency, bracket, percent, credit, _, after, before, k, m, b, t = (x.marks[i] for i in range(11))
-        scale = F.when(k, 1e3).when(m, 1e6).when(b, 1e9).when(t, 1e12).otherwise(1.0)
-        bare = F.replace(x.t, F.lit(","), F.lit(""))
-        negative = bracket | credit | after | before
+        scaled = x.t.rlike("(?is)[0-9].*[kmbt]$")
+        letter = F.lower(F.right(x.t, F.lit(1)))
+        scale = F.lit(1.0)
+        for name, factor in SCALES.items():
+            scale = F.when(scaled & (letter == name), factor).otherwise(scale)
+        number = F.replace(trimmed(F.when(scaled, F.regexp_replace(x.t, "(?s).$", "")).otherwise(x.t)), F.lit(","), F.lit(""))
+        currency, negative = raw.rlike(f"[{CURRENCY}]"), x.bracket | x.credit | x.after | x.before
         steps = F.array(
-            F.when(currency, "strip currency"), F.when(bracket, "brackets"), F.when(percent, "percent"), F.when(credit, "credit"),
-            F.when(after, "trailing minus"), F.when(scale > 1, F.concat(F.lit("scale "), scale.cast("long").cast("string"))), F.when(negative, "signed"),
-        )
-        out = F.struct(
-            (bare.cast("double") * scale * F.when(negative, -1.0).otherwise(1.0)).alias("value"), negative.alias("negative"), percent.alias("percent"),
-            currency.alias("currency"), scale.alias("scale"), (~F.contains(bare, F.lit(".")) & (scale == 1.0)).alias("integral"),
-            F.filter(steps, lambda v: v.isNotNull()).alias("transforms"),
+            F.when(currency, STEPS["currency"]), F.when(x.bracket, STEPS["bracket"]), F.when(x.percent, STEPS["percent"]), F.when(x.credit, STEPS["credit"]), F.when(x.after, STEPS["after"]),
+            *(F.when(scale == f, f"{STEPS['scale']}{f:g}") for f in SCALES.values()), F.when(negative, STEPS["signed"]),
         )
-        return F.when(bare.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), out)
+        return let(number, lambda n: F.when(n.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), F.struct(
+            (n.cast("double") * scale * F.when(negative, -1.0).otherwise(1.0)).alias("value"), negative.alias("negative"), x.percent.alias("percent"), currency.alias("currency"),
+            scale.alias("scale"), (~F.contains(n, F.lit(".")) & (scale == 1.0)).alias("integral"), F.filter(steps, lambda v: v.isNotNull()).alias("transforms"),
+        )))
 
-    return F.when(~F.lower(F.trim(F.coalesce(s, F.lit("")))).isin("", *PLACEHOLDERS), let(state, made))
+    plain = trimmed(F.regexp_replace(raw, f"[{CURRENCY}]", ""))
+    return F.when(~F.lower(raw).isin("", *PLACEHOLDERS), let(let(let(plain, bare_of), unsigned), made))
 
 
 def sign_fix(s: Column) -> Column:

@@ -20,6 +20,40 @@ REGION_ROLES = {
 DOC_ROLES = {"Title": ("title",), "Heading": ("section_header",), "Caption": ("caption",), "ListItem": ("list_item",), "Paragraph": ("text", "paragraph")}
 
 
+#: One name for what layout models call by many.
+LABELS = {
+    "Text": ("text", "plain text", "paragraph", "bibliography", "form"),
+    "Title": ("title",),
+    "Section-header": ("section-header", "section_header", "sectionheader"),
+    "Table": ("table",),
+    "Caption": ("table_caption", "figure_caption", "caption", "formula_caption"),
+    "Footnote": ("table_footnote", "footnote"),
+    "Picture": ("picture", "figure", "chemicalblock", "diagram"),
+    "List-item": ("list-item", "list_item", "list", "listgroup", "tableofcontents"),
+    "Formula": ("formula", "isolate_formula", "equation", "code"),
+    "Page-header": ("page-header", "page_header", "pageheader"),
+    "Page-footer": ("page-footer", "page_footer", "abandon", "pagefooter", "blankpage"),
+}
+
+
+def canonical_label(label: Column) -> Column:
+    """A layout label under its common name; an unknown one in title case, underscores as spaces."""
+    return role_of(label, LABELS, F.initcap(F.replace(label, F.lit("_"), F.lit(" "))))
+
+
+def percent_decoded(s: Column) -> Column:
+    """%XX as bytes and + as a space; a % that no two hex digits follow stays. Bytes that are no UTF-8 become U+FFFD."""
+    part = F.regexp_extract_all(s, F.lit("(?s)(%[0-9A-Fa-f]{2}|.)"), F.lit(1))
+    code = F.transform(part, lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(x, 2, 2)).when(x == "+", "20").otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return F.make_valid_utf8(F.unhex(F.array_join(code, "")).cast("string"))
+
+
+def url_encoded(s: Column) -> Column:
+    """Letters, digits and -_.~ as they are, every other byte as %XX."""
+    part = F.regexp_extract_all(s, F.lit("(?s)([A-Za-z0-9._~-]|.)"), F.lit(1))
+    return F.array_join(F.transform(part, lambda x: F.when(x.rlike("^[A-Za-z0-9._~-]$"), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))), "")
+
+
 def words(s: Column) -> Column:
     """Parts between white space."""
     return F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
@@ -92,7 +126,7 @@ def escape_html(s: Column, quotes: bool = False) -> Column:
     return s
 
 
-def role_of(label: Column, roles: dict = REGION_ROLES, other: str = "Other") -> Column:
+def role_of(label: Column, roles: dict = REGION_ROLES, other: str | Column = "Other") -> Column:
     low, out = F.lower(trimmed(label)), None
     for role, names in roles.items():
         out = F.when(low.isin(*names), role) if out is None else out.when(low.isin(*names), role)

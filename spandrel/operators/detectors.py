@@ -56,7 +56,10 @@ def token_residual(sources: DataFrame, parsed: DataFrame) -> DataFrame:
     """Per table_id: n_source tokens, dropped and spurious counts of the multiset difference. Both: table_id, text."""
     count = lambda df, n: df.select("table_id", F.explode(residual_tokens(F.col("text"))).alias("token")).groupBy("table_id", "token").agg(F.count(F.lit(1)).alias(n))
     both = count(sources, "n").join(count(parsed, "m"), ["table_id", "token"], "full").fillna(0, ["n", "m"])
-    some = lambda test: F.slice(F.array_sort(F.collect_list(F.when(test, F.col("token")))), 1, 4)
+    # examples: the first four of either kind, found by rank so that no group is gathered whole
+    kind = F.when(F.col("n") > F.col("m"), 1).when(F.col("m") > F.col("n"), 2)
+    both = both.withColumn("_k", kind).withColumn("_r", F.row_number().over(Window.partitionBy("table_id", "_k").orderBy("token")))
+    some = lambda test: F.array_sort(F.collect_list(F.when(test & (F.col("_r") <= 4), F.col("token"))))
     return both.groupBy("table_id").agg(
         F.sum("n").alias("n_source"), F.sum(F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias("dropped"), F.sum(F.greatest(F.col("m") - F.col("n"), F.lit(0))).alias("spurious"),
         some(F.col("n") > F.col("m")).alias("dropped_tokens"), some(F.col("m") > F.col("n")).alias("spurious_tokens"),
@@ -86,12 +89,14 @@ def cross_tier(tables: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     pairs = left.join(right, "table_id").withColumn("iou", G.iou(F.col("bbox"), F.col("bbox_b"))).where(F.col("iou") > F.lit(0.1).cast("float"))
     best = pairs.groupBy("table_id", "cell").agg(F.first("text").alias("text"), F.max_by("text_b", F.struct("iou", "other")).alias("text_b"))
     judged = best.withColumn("off", ~contents_agree(F.col("text"), F.col("text_b")))
-    stats = judged.groupBy("table_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("off").cast("int")).alias("n_off"), F.array_sort(F.collect_list(F.when(F.col("off"), F.struct("text", "text_b")))).alias("offs"))
+    judged = judged.withColumn("_r", F.row_number().over(Window.partitionBy("table_id", "off").orderBy("text", "text_b")))
+    shown = F.when(F.col("off") & (F.col("_r") <= 3), F.struct("text", "text_b"))
+    stats = judged.groupBy("table_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("off").cast("int")).alias("n_off"), F.array_sort(F.collect_list(shown)).alias("offs"))
     n = left.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_boxed"))
     out = tables.select("table_id").join(n, "table_id", "left").join(stats, "table_id", "left")
     known = (F.coalesce("n_boxed", F.lit(0)) >= 2) & (F.coalesce("matched", F.lit(0)) >= 2)
     flagged = known & (F.coalesce("n_off", F.lit(0)) > 0)
-    shown = F.array_join(F.transform(F.slice("offs", 1, 3), lambda s: F.concat(F.lit("'"), s.text, F.lit("' / '"), s.text_b, F.lit("'"))), "; ")
+    shown = F.array_join(F.transform("offs", lambda s: F.concat(F.lit("'"), s.text, F.lit("' / '"), s.text_b, F.lit("'"))), "; ")
     why = F.concat(F.format_string("%d of %d overlapping cell(s) disagree between the parses: ", "n_off", "matched"), shown)
     return _outcome(out, "cross_tier_agreement", flagged, F.lit("Error"), F.when(known, 0.92).otherwise(0.4), why)
 
@@ -162,24 +167,42 @@ def answers_faithful(got: DataFrame, want: DataFrame) -> DataFrame:
     return numbers(got, "got").join(numbers(want, "want"), "table_id", "full").withColumn("faithful", F.coalesce("got", F.array().cast("array<double>")) == F.coalesce("want", F.array().cast("array<double>"))).select("table_id", "faithful")
 
 
+def one_document(truth: DataFrame, parsed: DataFrame) -> list[str]:
+    """The keys that bring truth and parsed tables of a page together; truth that names no document fits one only."""
+    if "doc" in truth.columns:
+        return ["doc", "page"]
+    if "doc" in parsed.columns and len(parsed.select("doc").distinct().limit(2).collect()) > 1:
+        raise ValueError("truth without a document column, but tables of several documents")
+    return ["page"]
+
+
 def match_truth(truth: DataFrame, parsed: DataFrame, least: float = 0.3) -> DataFrame:
-    """truth (name, page, bbox, ord) with the table_id of best overlap above `least` on its page; ties go to the later table."""
-    pairs = truth.join(parsed.select("table_id", "page", F.col("bbox").alias("box"), F.col("ord").alias("seq")), "page").withColumn("iou", G.iou(F.col("bbox"), F.col("box"))).where(F.col("iou") > F.lit(least).cast("float"))
-    best = pairs.groupBy("name").agg(F.max_by("table_id", F.struct("iou", "seq")).alias("table_id"), F.max("iou").alias("iou"))
-    return truth.join(best, "name", "left")
+    """truth (doc, page, name, bbox, ord) with the table_id of best overlap above `least` on its page; ties go to the later table."""
+    keys = one_document(truth, parsed)
+    box = parsed.select(*keys, "table_id", F.col("bbox").alias("box"), F.col("ord").alias("seq"))
+    pairs = truth.join(box, keys).withColumn("iou", G.iou(F.col("bbox"), F.col("box"))).where(F.col("iou") > F.lit(least).cast("float"))
+    named = ["doc", "name"] if "doc" in keys else ["name"]
+    best = pairs.groupBy(*named).agg(F.max_by("table_id", F.struct("iou", "seq")).alias("table_id"), F.max("iou").alias("iou"))
+    return truth.join(best, named, "left")
+
 
+def missed(evals: DataFrame) -> DataFrame:
+    """The wrong tables that nothing flagged, by name."""
+    return evals.where(F.col("wrong") & (F.size("flagged_by") == 0)).select("name")
 
-def catch_metrics(evals: DataFrame, detectors: tuple = ("intrinsic_arithmetic", "structural_validity", "answer_support")) -> DataFrame:
-    """One row of rates over evals (name, matched, wrong, flagged_by array)."""
+
+def catch_metrics(evals: DataFrame, detectors: tuple = ("intrinsic_arithmetic", "structural_validity", "answer_support"), examples: int = 20) -> DataFrame:
+    """One row of rates over evals (name, matched, wrong, flagged_by array), with the first names missed (`missed` lists all)."""
     flagged, right = F.size("flagged_by") > 0, F.col("matched") & ~F.col("wrong")
     some = lambda test: F.sum(test.cast("int"))
     caught = some(F.col("wrong") & flagged)
     each = [some(F.col("wrong") & F.array_contains("flagged_by", d)).alias(f"caught_{d}") for d in detectors]
+    first = missed(evals).orderBy("name").limit(examples).agg(F.array_sort(F.collect_list("name")).alias("missed"))
     return evals.agg(
         F.count(F.lit(1)).alias("n_tables"), some(F.col("wrong")).alias("n_wrong"), (caught / F.nullif(some(F.col("wrong")), F.lit(0))).alias("catch_rate"),
         (some(right & flagged) / F.nullif(some(right), F.lit(0))).alias("false_alarm_rate"),
-        F.array_sort(F.collect_list(F.when(F.col("wrong") & ~flagged, F.col("name")))).alias("missed"), *each,
-    )
+        *each,
+    ).join(F.broadcast(first), how="left", on=F.lit(True))  # fmt: skip  # one row each
 
 
 def grid_diff(got: DataFrame, want: DataFrame) -> DataFrame:

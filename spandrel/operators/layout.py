@@ -350,6 +350,19 @@ def grid_risk(cells: DataFrame, spans: DataFrame, figure_score=None) -> DataFram
     return out.select("table_id", F.struct("min_ocr_confidence", "column_count_variance", "merged_cell_rows", "empty_cells", "rotated_text", "figure_score").alias("risk"))
 
 
+def placed_risk(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """table_id and risk of grids that a parser placed itself: spread and gaps of the filled cells a row, of all n_rows rows."""
+    line = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_rows"), F.lit(1)) - 1)).alias("row")
+    full = cells.where(F.trim("text") != "").groupBy("table_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = tables.select("table_id", "n_cols", line).join(full, ["table_id", "row"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = rows.groupBy("table_id").agg(
+        F.when(F.avg("n") > 0, F.var_pop("n") / F.avg("n")).otherwise(0.0).cast("float").alias("column_count_variance"), F.sum((F.col("n") < F.col("n_cols")).cast("int")).alias("merged_cell_rows"),
+        F.sum(F.greatest(F.col("n_cols") - F.col("n"), F.lit(0))).alias("empty_cells"),
+    )
+    one, none = F.lit(1.0).cast("float"), F.lit(0.0).cast("float")
+    return out.select("table_id", F.struct(one.alias("min_ocr_confidence"), "column_count_variance", "merged_cell_rows", "empty_cells", F.lit(False).alias("rotated_text"), none.alias("figure_score")).alias("risk"))
+
+
 def merge_regions(regions: DataFrame, keys: list) -> DataFrame:
     """keys, n and the box of side medians, for groups of at least two regions (bbox)."""
     return regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), G.median_agg(F.col("bbox")).alias("bbox")).where("n >= 2")

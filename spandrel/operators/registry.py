@@ -68,6 +68,23 @@ def enrichment_work(sources: DataFrame, enrichments: DataFrame) -> DataFrame:
     return sources.join(enrichments.select("kind", "source"), ["kind", "source"], "left_anti")
 
 
+#: Kinds of payload that the log can hold.
+KINDS = ("Text", "Region", "TextGrid", "HtmlTable", "ImageRef", "Document", "DbTable", "Enrichment", "Summary")
+
+
+def enveloped(rows: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """rows with kind and payload, the fields as JSON; an unknown kind is an error, not a row left out."""
+    if kind not in KINDS:
+        raise ValueError(f"no artifact kind {kind!r}")
+    return rows.withColumns({"kind": F.lit(kind), "payload": F.to_json(F.struct(*fields))})
+
+
+def opened(rows: DataFrame, kind: str, schema: str) -> DataFrame:
+    """The artifacts of one kind with their payload's fields as columns; a malformed payload is an error."""
+    parsed = rows.where(F.col("kind") == kind).withColumn("_x", F.from_json("payload", schema, {"mode": "FAILFAST"}))
+    return parsed.select(*rows.columns, "_x.*")
+
+
 class Registry:
     """Three append-only Parquet tables in a folder; JSON lines for exchange."""
 
@@ -80,7 +97,8 @@ class Registry:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{name}")
+            # files may lie at any depth: a stream keeps its batches in folders of their own
+            return self.spark.read.schema(self.TABLES[name]).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
         except AnalysisException:
             return self.spark.createDataFrame([], self.TABLES[name])
 

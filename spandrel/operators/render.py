@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spandrel.functions.numbers import trimmed
 from spandrel.functions.text import escape_html, truncated
 
 
@@ -28,12 +29,12 @@ def table_markdown(grid: DataFrame) -> DataFrame:
 
 
 def markdown_cells(tables: DataFrame) -> DataFrame:
-    """table_id, row, col and text from markdown; rule lines go, escaped pipes split as any other."""
-    lines = tables.select("table_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line")).where("line LIKE '%|%'")
-    lines = lines.where(~F.col("line").rlike(r"^[\s|:]*-{3,}[\s|:\-]*$"))
-    bare = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
-    rows = lines.withColumn("row", F.row_number().over(Window.partitionBy("table_id").orderBy("line_no")) - 1)
-    return rows.select("table_id", "row", F.posexplode(F.split(bare, r"\|")).alias("col", "text")).withColumn("text", F.trim("text"))
+    """table_id, row, col and text from markdown: lines that begin with a pipe; rows of dashes and colons alone go."""
+    lines = tables.select("table_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line")).withColumn("line", trimmed(F.col("line"))).where(F.col("line").startswith("|"))
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), trimmed)
+    rows = lines.select("table_id", "line_no", cells.alias("cells")).where(~F.forall("cells", lambda c: c.rlike("^[-:]+$")))
+    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("table_id").orderBy("line_no")) - 1)
+    return numbered.select("table_id", "row", F.posexplode("cells").alias("col", "text"))
 
 
 def table_html(grid: DataFrame, header_rows: str = "header_rows", newline: bool = False) -> DataFrame:

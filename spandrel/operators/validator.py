@@ -6,7 +6,7 @@ procedural and runs once per table; the score is SQL over the matched pairs.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from spandrel.functions.text import number_sign
 
 #: What each violation weighs.
 WEIGHTS = {"missing": 0.35, "spurious": 0.10, "row": 0.15, "col": 0.15, "split": 0.10, "permutation": 0.15, "sign": 0.15}
-PAIRS = "table_id string, kind string, obs_text string, hyp_text string, obs_row int, obs_col int, hyp_row int, hyp_col int"
+PAIRS = "table_id string, place int, kind string, obs_text string, hyp_text string, obs_row int, obs_col int, hyp_row int, hyp_col int"
 
 
 def plain(s: str) -> str:
@@ -43,51 +43,43 @@ def col_bands(x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_of(texts: list[str], free: list[int], target: str) -> list[int]:
-    """Neighbours among `free` whose texts together make `target`."""
-    for s in range(len(free)):
-        made = ""
-        for e in range(s, len(free)):
-            made += texts[free[e]]
-            if made == target:
-                return free[s : e + 1]
-            if not target.startswith(made):
-                break
-    return []
+class Ribbon:
+    """Words laid end to end, so that a run of whole words that spells a text is found by searching for the text."""
+
+    def __init__(self, numbers: list[int], texts: list[str]):
+        self.numbers, self.texts = numbers, [texts[k] for k in numbers]
+        self.borders = {at: k for k, at in enumerate([0, *accumulate(map(len, self.texts))])}
+        self.whole = "".join(self.texts)
+
+    def take(self, text: str) -> list[int]:
+        """The numbers of the first run that spells text, which then leaves the ribbon; none if there is no such run."""
+        at = -1
+        while (at := self.whole.find(text, at + 1)) >= 0:
+            first, last = self.borders.get(at), self.borders.get(at + len(text))
+            if first is not None and last is not None:
+                run = self.numbers[first:last]
+                rest = [k for k in range(len(self.numbers)) if not first <= k < last]
+                self.__init__([self.numbers[k] for k in rest], dict(zip(self.numbers, self.texts)))
+                return run
+        return []
 
 
 def align(obs: list[str], hyp: list[str]) -> list[tuple]:
-    """(obs, hyp) numbers of matches, with None for what stays alone; both lists in reading order, in plain form."""
-    places: dict = defaultdict(list)
-    for j, t in enumerate(hyp):
-        places[t].append(j)
-    pairs, left = [], []
-    used = set()
-    seen: dict = defaultdict(int)
-    for i, t in enumerate(obs):
-        if seen[t] < len(places[t]):
-            j = places[t][seen[t]]
-            seen[t] += 1
-            used.add(j)
-            pairs.append((i, j))
-        else:
-            left.append(i)
-    free = [j for j in range(len(hyp)) if j not in used]
-    alone = []
-    for i in left:  # one word here, several there
-        run = run_of(hyp, free, obs[i])
-        pairs += [(i, j) for j in run]
-        free = [j for j in free if j not in run]
-        if not run:
-            alone.append(i)
-    rest = []
-    for j in free:  # and the other way round
-        run = run_of(obs, alone, hyp[j])
-        pairs += [(i, j) for i in run]
-        alone = [i for i in alone if i not in run]
-        if not run:
-            rest.append(j)
-    return pairs + [(i, None) for i in alone] + [(None, j) for j in rest]
+    """(obs, hyp) numbers of matches, with None for what stays alone; both lists in reading order, in plain form.
+
+    Equal words match by occurrence; then one word here may be several there, and the other way round.
+    """
+    sides = [pd.DataFrame({"t": pd.Series(x, dtype=object)}).reset_index(names=name) for x, name in ((obs, "i"), (hyp, "j"))]
+    joined = pd.merge(*(x.assign(n=x.groupby("t").cumcount()) for x in sides), on=["t", "n"], how="outer", indicator=True)
+    found = joined[joined._merge == "both"].sort_values("i")
+    pairs = list(zip(found.i.astype(int), found.j.astype(int)))
+    alone = sorted(joined[joined._merge == "left_only"].i.astype(int))
+    spare = Ribbon(sorted(joined[joined._merge == "right_only"].j.astype(int)), hyp)
+    split = {i: spare.take(obs[i]) for i in alone}
+    left = Ribbon([i for i in alone if not split[i]], obs)
+    glued = {j: left.take(hyp[j]) for j in spare.numbers}
+    pairs += [(i, j) for i, run in split.items() for j in run] + [(i, j) for j, run in glued.items() for i in run]
+    return pairs + [(i, None) for i in left.numbers] + [(None, j) for j, run in glued.items() if not run]
 
 
 def matched_pairs(obs: DataFrame, hyp: DataFrame) -> DataFrame:
@@ -107,9 +99,9 @@ def matched_pairs(obs: DataFrame, hyp: DataFrame) -> DataFrame:
         for i, j in align([plain(x[0]) for x in o], [plain(x[0]) for x in h]):
             x, y = o[i] if i is not None else (None,) * 3, h[j] if j is not None else (None,) * 3
             kind = "missing" if j is None else "spurious" if i is None else "matched"
-            rows.append((pdf.table_id.iloc[0], kind, x[0], y[0], x[1], x[2], y[1], y[2]))
+            rows.append((pdf.table_id.iloc[0], len(rows), kind, x[0], y[0], x[1], x[2], y[1], y[2]))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
-        return out.astype({c: "Int32" for c in ("obs_row", "obs_col", "hyp_row", "hyp_col")})
+        return out.astype({c: "Int32" for c in ("place", "obs_row", "obs_col", "hyp_row", "hyp_col")})
 
     return left.unionByName(right).groupBy("table_id").applyInPandas(run, PAIRS)
 
@@ -119,8 +111,9 @@ def score(pairs: DataFrame) -> DataFrame:
     hit = pairs.where("kind = 'matched'")
     share = lambda by, other: hit.groupBy("table_id", by).agg((F.countDistinct(other) > 1).cast("double").alias("v")).groupBy("table_id").agg(F.avg("v").alias("v"))
     named = lambda df, n: df.withColumnRenamed("v", n)
-    counts = hit.groupBy("table_id", "hyp_col", "obs_col").agg(F.count(F.lit(1)).alias("n"))
-    top = Window.partitionBy("table_id", "hyp_col").orderBy(F.desc("n"), "obs_col")
+    counts = hit.groupBy("table_id", "hyp_col", "obs_col").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    # of equally frequent columns the one matched first
+    top = Window.partitionBy("table_id", "hyp_col").orderBy(F.desc("n"), "place")
     main = counts.withColumn("_r", F.row_number().over(top)).where("_r = 1")
     perm = main.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hyp_col", "obs_col"))), lambda s: s.obs_col).alias("permutation"))
     moved = F.size(F.filter(F.zip_with("permutation", F.array_sort("permutation"), lambda a, b: a != b), lambda x: x))

@@ -19,6 +19,7 @@ from spandrel.operators import tables as T
 from spandrel.operators import triage as P
 from spandrel.operators import typed as Y
 from spandrel.plans import ops as O
+from spandrel.sources import exports as X
 from spandrel.sources import readers as S
 
 
@@ -106,18 +107,19 @@ def check(state: O.State) -> DataFrame:
 
 
 def evaluate(state: O.State, truth: DataFrame, truth_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per truth table: matched, wrong, flagged_by; and the catch rates over all."""
+    """Per truth table (by document where it names one): matched, wrong, flagged_by; and the catch rates over all."""
     tables = state["tables"]
-    match = D.match_truth(truth, tables).select("name", F.col("table_id"), "iou")
+    if "truth_id" not in truth.columns:
+        truth = truth.withColumn("truth_id", F.col("name"))
+    match = D.match_truth(truth, tables)
     grid = T.model(tables, state["cells"])
-    want = T.dense_grid(truth_cells.groupBy("table_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")), truth_cells).withColumnRenamed("table_id", "name")
-    got = grid.join(match.where("table_id IS NOT NULL"), "table_id").select(F.col("name").alias("table_id"), "row", "col", "text")
-    wrong = D.grid_diff(got, want.withColumnRenamed("name", "table_id")).groupBy("table_id").agg(F.count(F.lit(1)).alias("divergences"))
-    claims = state["cells"]
-    outcomes = D.arithmetic(tables, grid).unionByName(D.structure(tables, grid)).unionByName(D.sampled_support(tables, claims, state["spans"]))
+    want = T.dense_grid(truth_cells.groupBy("table_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")), truth_cells)
+    got = grid.join(match.where("table_id IS NOT NULL").select("table_id", "truth_id"), "table_id").select(F.col("truth_id").alias("table_id"), "row", "col", "text")
+    wrong = D.grid_diff(got, want).groupBy(F.col("table_id").alias("truth_id")).agg(F.count(F.lit(1)).alias("divergences"))
+    outcomes = D.arithmetic(tables, grid).unionByName(D.structure(tables, grid)).unionByName(D.sampled_support(tables, state["cells"], state["spans"]))
     flags = outcomes.where("flagged").groupBy("table_id").agg(F.array_sort(F.collect_list("check_id")).alias("flagged_by"))
-    evals = match.join(flags, "table_id", "left").join(wrong.withColumnRenamed("table_id", "name"), "name", "left")
-    evals = evals.select("name", F.col("table_id").isNotNull().alias("matched"), (F.col("divergences").isNotNull() | F.col("table_id").isNull()).alias("wrong"), F.coalesce("divergences", F.lit(0)).alias("divergences"), "iou", F.coalesce("flagged_by", F.array().cast("array<string>")).alias("flagged_by"))
+    evals = match.join(flags, "table_id", "left").join(wrong, "truth_id", "left")
+    evals = evals.select(*(["doc"] if "doc" in truth.columns else []), "name", F.col("table_id").isNotNull().alias("matched"), (F.col("divergences").isNotNull() | F.col("table_id").isNull()).alias("wrong"), F.coalesce("divergences", F.lit(0)).alias("divergences"), "iou", F.coalesce("flagged_by", F.array().cast("array<string>")).alias("flagged_by"))
     return evals, D.catch_metrics(evals)
 
 
@@ -133,6 +135,16 @@ def explain(state: O.State, suspect_only: bool = False) -> DataFrame:
     return found.where("impression = 'Suspect'") if suspect_only else found
 
 
+def explain_json(state: O.State) -> DataFrame:
+    """table_id and json of what explain says."""
+    grid = T.model(state["tables"], state["cells"])
+    return X.evidence_json(state["tables"], D.assess(state["tables"], grid), grid)
+
+
+def judge_json(grids: DataFrame) -> DataFrame:
+    return X.judged_json(judge(grids))
+
+
 def impressions(state: O.State) -> DataFrame:
     return explain(state).groupBy("impression").agg(F.count(F.lit(1)).alias("n"))
 

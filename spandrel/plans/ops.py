@@ -6,6 +6,7 @@ figure_score), words (table_id, ord, text, x0..y1), tables and cells. An op take
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -133,6 +134,10 @@ def extractor_for(fmt: str, tier: int) -> Op:
     return OPS["pdf-text"]
 
 
+#: The frame that holds the artifacts of a kind.
+FRAMES = {"Region": "regions", "TextGrid": "grids", "HtmlTable": "cells"}
+
+
 def run_chain(state: State, names: list[str], ops: dict[str, Op] = OPS) -> list[tuple[int, str, State]]:
     """Every op's output as (generation, op, frames). Each works on the state all before have left; kinds must fit."""
     if not names:
@@ -144,6 +149,8 @@ def run_chain(state: State, names: list[str], ops: dict[str, Op] = OPS) -> list[
             raise ValueError(f"op {name!r} takes {o.takes}, not {kind}")
         if o.run is None:
             raise ValueError(f"op {name!r} has no tool in this session")
+        if kind != "Document" and state[FRAMES[kind]].isEmpty():
+            raise ValueError(f"op {name!r} has nothing to work on")
         made = o.run(state)
         state, kind = state | made, o.makes
         out.append((generation, name, made))
@@ -170,10 +177,30 @@ def errors(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("table_id").agg(F.sum((F.col("flagged") & (F.col("severity") == "Error")).cast("int")).alias("errors"), F.concat_ws(" ; ", F.collect_list("reason")).alias("reasons"))
 
 
+def attempt(o: Op, part: State, whole: State) -> State | None:
+    """Tables and cells that an op makes of the flagged ones in `part`, under their ids; None if it can't be tried.
+
+    An op on tables transforms them. One on documents parses `whole` again, and each flagged table takes the parsed table
+    that overlaps it best on its page; tables without such a one are left out.
+    """
+    if o.run is None or o.takes not in ("HtmlTable", "Document"):
+        return None
+    if o.takes == "HtmlTable":
+        return {k: v for k, v in (part | o.run(part)).items() if k in ("tables", "cells")}
+    if "spans" not in whole:
+        return None
+    again = o.run(whole)
+    best = R.best_overlap(part["tables"].select("table_id", "doc", "page", "bbox"), again["tables"].select("doc", "page", F.col("table_id").alias("found"), "bbox"), ["doc", "page"], "table_id", "found", 0.0)
+    best = best.where("match IS NOT NULL").select("table_id", F.col("match").alias("_found"))
+    renamed = lambda df: df.withColumnRenamed("table_id", "_found").join(best, "_found").drop("_found")
+    return {"tables": renamed(again["tables"].select("table_id", "n_rows", "n_cols")), "cells": renamed(again["cells"])}
+
+
 def escalate(state: State, budget: int = 3, ops: dict[str, Op] = OPS) -> list[tuple[int, str, State]]:
     """Attempts on flagged tables: (step, op, frames). A table takes on an attempt's cells where that has fewer errors.
 
-    Each step tries, over all tables that still have errors at once, the first op they are routed to and have not tried.
+    In a step every table that still has errors is tried with the ops it is routed to, one after the other, until one
+    improves it; tables go through this at once, those bound for the same op together. A table that no op improves is done.
     """
     out, state, tried = [], dict(state), None
     for k in ("tables", "cells"):
@@ -183,24 +210,31 @@ def escalate(state: State, budget: int = 3, ops: dict[str, Op] = OPS) -> list[tu
         html = M.table_html(T.model(state["tables"], state["cells"]))
         flags = now.join(html, "table_id")
         flags = flags.join(tried, "table_id", "left") if tried is not None else flags.withColumn("tried", F.array().cast("array<string>"))
-        routed = route(flags).where("size(candidates) > 0").withColumn("next", F.get("candidates", F.lit(0)))
-        routed = saved(routed.select("table_id", "next", F.coalesce("tried", F.array().cast("array<string>")).alias("tried"), F.col("errors").alias("before")), "routed")
-        wanted = [r["next"] for r in routed.select("next").distinct().collect()]  # as many as there are ops
-        if not wanted:
+        left = saved(route(flags).select("table_id", F.col("errors").alias("before"), F.coalesce("tried", F.array().cast("array<string>")).alias("tried"), "candidates"), "routed")
+        seen = []
+        while wanted := sorted(r["next"] for r in left.where("size(candidates) > 0").select(F.col("candidates")[0].alias("next")).distinct().collect()):  # as many as there are ops
+            improved = None
+            for name in wanted:
+                some = left.where(F.get("candidates", F.lit(0)) == name).select("table_id", "before")
+                part = {k: state[k].join(some.select("table_id"), "table_id", "left_semi") for k in ("tables", "cells")}
+                made = attempt(op(name, ops), part, state)
+                if made is None:
+                    continue
+                sizes = made["tables"].select("table_id", "n_rows", "n_cols")
+                made = {"cells": saved(made["cells"], "attempt"), "tables": saved(part["tables"].drop("n_rows", "n_cols").join(sizes, "table_id").select(*state["tables"].columns), "attempt")}
+                out.append((step + 1, name, made))
+                better = saved(errors(checks(made)).join(some, "table_id").where("errors < before").select("table_id"), "better")
+                for k in ("tables", "cells"):
+                    kept = state[k].join(better, "table_id", "left_anti")
+                    state[k] = saved(kept.unionByName(made[k].join(better, "table_id", "left_semi").select(*kept.columns)), k)
+                improved = better if improved is None else improved.unionByName(better)
+            left = left.withColumns({"tried": F.array_union("tried", F.slice("candidates", 1, 1)), "candidates": F.when(F.size("candidates") > 0, F.slice("candidates", F.lit(2), F.greatest(F.size("candidates") - 1, F.lit(0)))).otherwise(F.col("candidates"))})
+            if improved is not None:
+                seen.append(left.join(improved, "table_id", "left_semi").select("table_id", "tried"))
+                left = left.join(improved, "table_id", "left_anti")
+            left = saved(left, "routed")
+        if not seen:
             break
-        for name in sorted(wanted):
-            o = op(name, ops)
-            if o.run is None or o.takes != "HtmlTable":
-                continue
-            some = routed.where(F.col("next") == name).select("table_id", "before")
-            part = {k: state[k].join(some.select("table_id"), "table_id", "left_semi") for k in ("tables", "cells")}
-            made = o.run(part)
-            made = made | {"cells": saved(made["cells"], "attempt")}
-            out.append((step + 1, name, made))
-            after = errors(checks(part | made))
-            better = saved(after.join(some, "table_id").where("errors < before").select("table_id"), "better")
-            kept = state["cells"].join(better, "table_id", "left_anti")
-            state["cells"] = saved(kept.unionByName(made["cells"].join(better, "table_id", "left_semi").select(*kept.columns)), "cells")
-        tried = routed.select("table_id", F.array_union("tried", F.array("next")).alias("tried"))
+        tried = saved(functools.reduce(DataFrame.unionByName, [*seen, left.select("table_id", "tried")]), "tried")
     out.append((budget + 1, "best", {"cells": state["cells"], "tables": state["tables"]}))
     return out

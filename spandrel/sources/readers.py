@@ -50,6 +50,13 @@ def text_layers(spark: SparkSession, path: str, glob: str = "*") -> tuple[DataFr
     return frame, spans_of(pages), regions_of(pages)
 
 
+def extent_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, page, width and height for every page an extractor is to be run on: a document without pages has one, of letter size."""
+    letter = (F.lit(1).alias("page"), F.lit(612.0).cast("float").alias("width"), F.lit(PAGE_HEIGHT).cast("float").alias("height"))
+    bare = docs.select("doc").distinct().join(pages.select("doc").distinct(), "doc", "left_anti")
+    return pages.select("doc", "page", "width", "height").unionByName(bare.select("doc", *letter))
+
+
 def spans_of(pages: DataFrame) -> DataFrame:
     """doc, page, ord, text, bbox, confidence and rotated from rows of (doc, p)."""
     each = pages.select("doc", "p.page", F.posexplode("p.spans").alias("ord", "s"))
@@ -175,11 +182,46 @@ def grid_cells(df: DataFrame, grid: str = "grid", boxes: str | None = None, head
     return tables, cells.select("table_id", "row", "col", (F.col("row") * 100_000 + F.col("col")).alias("ord"), F.coalesce("text", F.lit("")).alias("text"), (F.col("row") < F.col("_h")).alias("is_header"), F.coalesce(b, G.box(0, 0, 0, 0)).alias("bbox"))
 
 
-def truth_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Truth tables (name, page, bbox, ord, column_types, difficulty) and their cells."""
-    each = docs.select(F.posexplode("tables").alias("ord", "t")).select("ord", "t.*").withColumn("table_id", F.col("name"))
+def truth_tables(docs: DataFrame, doc: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Truth tables (truth_id, name, page, bbox, ord, column_types, difficulty) and their cells, whose table_id is the truth_id.
+
+    doc: the column that names the document the truth is about. Without it the truth is about the only document at hand.
+    """
+    extra = [F.col(doc).alias("doc")] if doc else []
+    each = docs.select(*extra, F.posexplode("tables").alias("ord", "t")).select(*(["doc"] if doc else []), "ord", "t.*")
+    each = each.withColumn("table_id", F.concat_ws("#", "doc", "name") if doc else F.col("name"))
     _, cells = grid_cells(each.withColumn("header_rows", F.lit(1)), "cells")
-    return each.select("name", "page", G.box_of(F.col("bbox")).alias("bbox"), "ord", F.coalesce("column_types", F.array().cast("array<string>")).alias("column_types"), "difficulty"), cells
+    named = each.select(F.col("table_id").alias("truth_id"), *(["doc"] if doc else []), "name", "page", G.box_of(F.col("bbox")).alias("bbox"), "ord", F.coalesce("column_types", F.array().cast("array<string>")).alias("column_types"), "difficulty")
+    return named, cells
+
+
+def word_boxes(docs: DataFrame) -> DataFrame:
+    """doc, ord, text and bbox of bare word boxes: rows of doc and words, an array of the WORDS structs."""
+    return region_words(docs)
+
+
+def remapped_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """docling rows whose page numbers count an extract's pages, with those of the whole document. pages: doc, sub, page.
+
+    Numbers that the list leaves out stay as they are.
+    """
+    known = pages.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sub").cast("int"), F.col("page").cast("int")))).alias("_m"))
+    out = docs.join(known, "doc", "left")
+    new = lambda n: F.coalesce(F.col("_m")[n], n)
+    moved = lambda c: F.transform(c, lambda x: x.withField("prov", F.transform(x.prov, lambda p: p.withField("page_no", new(p.page_no)))))
+    renamed = F.transform_keys("pages", lambda k, _: F.coalesce(new(k.try_cast("int")).cast("string"), k))
+    return out.withColumns({"pages": renamed} | {c: moved(c) for c in ("tables", "texts", "pictures")}).drop("_m")
+
+
+def rebased(tables: DataFrame, cells: DataFrame, crops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables and cells parsed from crops, put back on their pages. crops: table_id, page, x0 and y0 (the crop's corner)."""
+    at = crops.select("table_id", F.col("page").alias("_page"), F.col("x0").alias("_x"), F.col("y0").alias("_y"))
+
+    def moved(df: DataFrame) -> DataFrame:
+        out = df.join(at, "table_id").withColumns({"page": F.col("_page"), "bbox": F.when(F.col("bbox").isNotNull(), G.crop_to_page(F.col("bbox"), F.col("_x"), F.col("_y")))})
+        return out.drop("_page", "_x", "_y")
+
+    return moved(tables), moved(cells)
 
 
 def triage_pages(docs: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ def values(spark, rows, f):
 
 
 def test_parse_num(spark):
-    rows = ["$1,234.50", "(500)", "$ (902)", "12%", "—", "Revenue", "2023-2024", "( 902", "", None, "-", "1e5", " 7 "]
-    assert values(spark, rows, N.parse_num) == [1234.5, -500, -902, 12, None, None, None, 902, None, None, None, None, 7]
+    rows = ["$7,310.25", "(418)", "$ (655)", "9%", "—", "Harvest", "2031-2032", "( 655", "", None, "-", "3e5", " 8 "]
+    assert values(spark, rows, N.parse_num) == [7310.25, -418, -655, 9, None, None, None, 655, None, None, None, None, 8]
 
 
 def test_parse_cell(spark):
@@ -28,10 +28,11 @@ def test_parse_plain(spark):
 
 
 def test_parse_number(spark):
-    rows = ["$ (902)", "1.5M", "150CR", "150DR", "12%", "3-", "Q1", "n/a", "(2,732)", "7"]
+    rows = ["$ (655)", "2.5M", "90CR", "90DR", "9%", "4-", "P3", "n/a", "(3,118)", "6", "5mk", "5drcr", "\t(5)", "(7", "8 k", "k", "-3b", "$", "1,0.5", "(2)%", "1.2.3", None]
     got = values(spark, rows, N.parse_number)
-    assert [g and g.value for g in got] == [-902, 1.5e6, -150, 150, 12, -3, None, None, -2732, 7]
-    assert got[0].transforms == ["strip currency", "brackets", "signed"] and got[4].percent and got[9].integral and not got[1].integral
+    assert [g and g.value for g in got] == [-655, 2.5e6, -90, 90, 9, -4, None, None, -3118, 6, None, None, -5, None, 8000, None, -3e9, None, 10.5, -2, None, None]
+    assert got[0].transforms == ["strip currency", "paren→neg", "signed"] and got[4].percent and got[9].integral and not got[1].integral
+    assert got[1].transforms == ["scale ×1e+06"] and got[5].transforms == ["trailing−→neg", "signed"] and got[14].transforms == ["scale ×1000"] and got[16].scale == 1e9
 
 
 def test_sign_fix(spark):
@@ -39,7 +40,7 @@ def test_sign_fix(spark):
 
 
 def test_clean_cell(spark):
-    assert values(spark, ["13......", "13.5", "Revenue ....  1,234", "1965 . . . .", ""], X.clean_cell) == ["13", "13.5", "Revenue 1,234", "1965", ""]
+    assert values(spark, ["27......", "27.5", "Oats ....  3,210", "1987 . . . .", ""], X.clean_cell) == ["27", "27.5", "Oats 3,210", "1987", ""]
 
 
 def test_total_label(spark):
@@ -82,3 +83,9 @@ def test_coordinates(spark):
         G.to_top_left(F.lit(10.0), F.lit(700.0), F.lit(20.0), F.lit(690.0), F.lit("BOTTOMLEFT"), F.lit(792.0)).alias("f"),
     ).first()
     assert tuple(b.p) == (100, 100, 200, 200) and tuple(b.c) == (105, 205, 115, 225) and tuple(b.f) == (10, 92, 20, 102)
+
+
+def test_labels_and_urls(spark):
+    assert values(spark, ["Plain Text", " TABLE ", "SectionHeader", "side_note", "chart"], X.canonical_label) == ["Text", "Table", "Section-header", "Side Note", "Chart"]
+    assert values(spark, ["a+b%20c", "100%", "%zz%41", "caf%C3%A9", "%ff", ""], X.percent_decoded) == ["a b c", "100%", "%zzA", "café", "\ufffd", ""]
+    assert values(spark, ["a b/c", "é~_.-", ""], X.url_encoded) == ["a%20b%2Fc", "%C3%A9~_.-", ""]

@@ -63,3 +63,29 @@ def test_stream(spark, tmp_path):
     r.append(artifacts(spark, (0, 0, ())))
     S.append(S.observations(spark, str(tmp_path / "src/observations")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert V.Registry(spark, str(tmp_path / "out")).observations.count() == 1
+
+
+def test_appended_and_streamed_rows_are_one_log(spark, tmp_path):
+    from spandrel.streaming import registry_stream as S
+
+    source, r = V.Registry(spark, str(tmp_path / "src")), V.Registry(spark, str(tmp_path / "out"))
+    source.append(artifacts(spark, (0, 0, ())))
+    r.append(artifacts(spark, (1, 0, ())))
+    for check in ("ck", "other"):
+        S.append(S.observations(spark, str(tmp_path / "src/observations")), str(tmp_path / "out"), str(tmp_path / check)).awaitTermination(120)
+    assert sorted(x.element_id for x in r.observations.collect()) == ["e0", "e0", "e1"]
+    r.append(artifacts(spark, (2, 0, ())))
+    S.append(S.observations(spark, str(tmp_path / "src/observations")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(x.element_id for x in r.observations.collect()) == ["e0", "e0", "e1", "e2"]
+
+
+def test_payload_envelope(spark):
+    import pytest
+
+    rows = V.enveloped(spark.createDataFrame([("a", "Table", 0.5)], "artifact_id string, label string, confidence double"), "Region", ["label", "confidence"])
+    back = V.opened(rows.select("artifact_id", "kind", "payload"), "Region", "label string, confidence double").first()
+    assert (back.artifact_id, back.kind, back.label, back.confidence) == ("a", "Region", "Table", 0.5)
+    with pytest.raises(ValueError):
+        V.enveloped(rows, "Nonsense", ["label"])
+    with pytest.raises(Exception, match="MALFORMED"):
+        V.opened(rows.withColumn("payload", F.lit("{not json")), "Region", "label string").collect()
