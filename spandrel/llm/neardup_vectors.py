@@ -1,12 +1,13 @@
 """Embedding near-duplicates by dual traversal of cover trees: all pairs with cosine >= threshold, exactly.
 
-Equal vectors are first folded into one with a weight. The rest are dealt into blocks of about BLOCK vectors; each block
-gets a cover tree over its unit vectors, whose levels halve the covering radius. Every pair of blocks is one task: it
-walks both trees at once, drops a node pair when the centres' distance less both radii exceeds the threshold's chord,
+Equal vectors are first folded into one with a weight. The rest are dealt to the nearest of up to PIVOTS vectors, the top
+level of the cover tree, and crowded cells split into blocks of about BLOCK vectors; each block gets a cover tree over its
+unit vectors, whose levels halve the covering radius. Two blocks meet if their roots' centres are no further apart than the
+threshold's chord and both radii; only then is their payload moved. Every such pair of blocks is one task: it walks both
+trees at once, drops a node pair when the centres' distance less both radii exceeds the threshold's chord,
 counts all pairs of a node pair as links when the distance plus both radii stays below it, and compares single vectors
 otherwise. A task returns link counts and a spanning forest, never the pairs, so a group of near copies costs what it
-has members. Blocks meet pairwise (unrelated vectors in 64 dimensions are all about equally far apart, so no exact
-method rules out whole blocks); their payload is bounded, and no task holds more than two.
+has members. A block's payload is bounded, and no task holds more than two.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link
 with nothing; vectors of different length link with nothing; repeated rows count as further vectors; ties do not arise
@@ -22,22 +23,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spandrel.llm.common import components, lean, read, save
+from spandrel.llm.common import components, lean, read, save, small_table
 
 THRESHOLD = 0.9
 BLOCK = 4096
+#: Vectors that the first deal goes by, and blocks whose roots are held against each other before they meet: what these two
+#: broadcast is bounded. Past MOST_ROOTS blocks all pairs meet.
+PIVOTS = 1024
+MOST_ROOTS = 1 << 15
 SLACK = 1e-9
 
 
 class Tree:
     """A cover tree over unit vectors. Each node covers rows start:end within radius of its centre, itself one of them."""
 
+    @staticmethod
+    def scaled(x: np.ndarray) -> np.ndarray:
+        """Rows by their largest component, so that no square overflows or vanishes; angles stay."""
+        wide = x.astype(np.float64)
+        return wide / abs(wide).max(1, keepdims=True)
+
     ARRAYS = ("ids", "weight", "x", "centre", "start", "end", "first", "last", "radius")
 
     def __init__(self, arrays: dict):
         self.ids, self.weight, self.x, self.centre, self.start, self.end, self.first, self.last, self.radius = (arrays[k] for k in self.ARRAYS)
-        self.x = self.x.astype(np.float64)
+        self.x = self.scaled(self.x)
         self.norm = np.sqrt((self.x * self.x).sum(1))
         self.unit = self.x / self.norm[:, None]
         self.short = self.unit.astype(np.float32)
@@ -59,11 +71,14 @@ class Tree:
     @classmethod
     def build(cls, ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> dict:
         """The tree's arrays, rows in tree order. Covers are chosen greedily in single precision; radii are exact."""
-        wide = x.astype(np.float64)
+        wide = cls.scaled(x)
         unit = wide / np.sqrt((wide * wide).sum(1))[:, None]
         short = unit.astype(np.float32)
         gram = short @ short.T
         order, held = np.arange(len(ids)), []
+        if len(ids):  # the root's centre is the vector nearest to the middle
+            middle = int(np.argmax(unit @ unit.mean(0)))
+            order[[0, middle]] = order[[middle, 0]]
         centre, start, end, radius, first, last = [], [], [], [], [], []
 
         def add(members: np.ndarray, at: int) -> None:
@@ -224,7 +239,73 @@ def matrix(column, dim: int) -> np.ndarray:
 def _pack(table: pa.Table) -> pa.Table:
     dim = table["dim"][0].as_py()
     tree = Tree.build(table["rep"].to_numpy(), table["weight"].to_numpy(), matrix(table["embedding"], dim))
-    return pa.table({"dim": pa.array([dim], pa.int32()), "block": table["block"].slice(0, 1), "tree": pa.array([packed(**tree)], pa.binary())})
+    root = units(tree["x"][tree["centre"][:1]])
+    columns = {"dim": pa.array([dim], pa.int32()), "block": table["block"].slice(0, 1), "centre": pa.array(root.tolist(), pa.list_(pa.float64())), "radius": pa.array(tree["radius"][:1]), "tree": pa.array([packed(**tree)], pa.binary())}
+    return pa.table(columns)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = Tree.scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def dealt(unique: DataFrame, block: int) -> DataFrame:
+    """unique (rep, weight, embedding) with dim and block: the nearest pivot's cell, crowded cells in parts of about `block`.
+
+    Pivots are the vectors that hash lowest; they decide where a vector lies, not what it is compared with.
+    """
+    spark = unique.sparkSession
+    n = unique.count()
+    few = unique.select("embedding", F.xxhash64(F.lit(3), "rep").alias("h")).orderBy("h").limit(min(PIVOTS, -(-n // block))).collect()
+    by_dim: dict = {}
+    for r in few:
+        by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    pivots = spark.sparkContext.broadcast({dim: units(np.array(x, np.float64)) for dim, x in by_dim.items()})  # PIVOTS vectors at most
+
+    def nearest(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("embedding"))
+            dims = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(dims), np.int32)
+            for dim in set(dims.tolist()) & set(pivots.value):
+                rows = np.nonzero(dims == dim)[0]
+                cell[rows] = (units(matrix(column.take(pa.array(rows)), dim)) @ pivots.value[dim].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(cell, pa.int32())], names=[*batch.schema.names, "dim", "cell"])
+
+    placed = save(unique.mapInArrow(lean(nearest), T.StructType([*unique.schema, T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType())])), "placed")
+    parts, rows, at = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).orderBy("dim", "cell").collect(), [], {}  # a row a pivot, or a dimension without one
+    for r in parts:
+        some = -(-r["n"] // block)
+        rows.append((r["dim"], r["cell"], at.get(r["dim"], 0), some))
+        at[r["dim"]] = at.get(r["dim"], 0) + some
+    table = small_table(spark, "dim int, cell int, first int, parts int", rows)
+    number = F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    return placed.join(F.broadcast(table), ["dim", "cell"]).withColumn("block", number).drop("cell", "first", "parts")
+
+
+def meetings(trees: DataFrame, threshold: float) -> DataFrame:
+    """dim, block and other (block <= other) for the pairs of blocks that may hold a link, judged by their roots."""
+    spark = trees.sparkSession
+    roots = trees.select("dim", "block", "centre", "radius")
+    n = roots.count()
+    if n > MOST_ROOTS:
+        most = roots.groupBy("dim").agg((F.max("block") + 1).alias("_n"))
+        return roots.join(F.broadcast(most), "dim").select("dim", "block", F.explode(F.sequence(F.col("block"), F.col("_n") - 1)).alias("other"))
+    held: dict = {}
+    for r in roots.collect():
+        held.setdefault(r["dim"], []).append((r["block"], r["centre"], r["radius"]))
+    every = spark.sparkContext.broadcast({d: (np.array([x[0] for x in v], np.int32), np.array([x[1] for x in v], np.float64), np.array([x[2] for x in v])) for d, v in held.items()})
+    chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+    def near(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                blocks, centres, radii = every.value[r["dim"]]
+                apart = np.sqrt(((centres - np.array(r["centre"])) ** 2).sum(1))
+                other = blocks[(apart <= chord + radii + r["radius"]) & (blocks >= r["block"])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), r["dim"]), pa.int32()), pa.array(np.full(len(other), r["block"]), pa.int32()), pa.array(other, pa.int32())], names=["dim", "block", "other"])
+
+    return roots.mapInArrow(lean(near), "dim int, block int, other int")
 
 
 def packed(**arrays) -> bytes:
@@ -243,14 +324,11 @@ def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
     fine = "vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)"
     unique = save(v.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "unique")
-    n = max(1, -(-unique.count() // block))
-    dealt = unique.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")})
-    trees = save(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, tree binary"), "blocks")
-    # every unordered pair of blocks once: a block meets the next n // 2 ones around the circle
-    steps = trees.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
-    if n % 2 == 0 and n > 1:
-        steps = steps.where((F.col("step") < n // 2) | (F.col("block") < n // 2))
-    steps = steps.withColumn("other", F.pmod(F.col("block") + F.col("step"), F.lit(n)))
+    if unique.isEmpty():
+        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    trees = save(dealt(unique, block).select("rep", "weight", "embedding", "dim", "block").groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, centre array<double>, radius double, tree binary"), "blocks")
+    pairs = save(meetings(trees, threshold), "meetings")
+    left = pairs.join(trees.select("dim", "block", "tree"), ["dim", "block"])
     right = trees.select("dim", F.col("block").alias("other"), F.col("tree").alias("tree_b"))
     threshold_ = threshold
 
@@ -261,17 +339,18 @@ def near_pairs(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "
                 row = batch.slice(row, 1).to_pylist()[0]
                 if kept != (row["dim"], row["other"]):
                     kept, tree = (row["dim"], row["other"]), Tree(unpacked(row["tree_b"]))
-                a = tree if row["step"] == 0 else Tree(unpacked(row["tree"]))
+                a = tree if row["block"] == row["other"] else Tree(unpacked(row["tree"]))
                 found = Links(a, tree, threshold_).run()
                 columns = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
-    found = save(steps.join(right, ["dim", "other"]).mapInArrow(lean(run), "a long, b long, n long"), "links")
+    found = save(left.join(right, ["dim", "other"]).select("dim", "block", "other", "tree", "tree_b").mapInArrow(lean(run), "a long, b long, n long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     parts = components(found)
     classes = unique.join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("id"), "left")
     classes = classes.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = v.join(classes, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = F.col("vec_id").isNotNull()
+    out = v.join(classes, "embedding", "left").select("vec_id", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

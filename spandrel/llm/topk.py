@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by branch and bound over one ball tree per shard.
 
 Candidates are dealt into shards of about SHARD vectors, each with a ball tree. A query first searches the shard it lies
-in; its k-th score there goes with it to all other shards, where leaves are visited by falling upper bound (query times
+in; its k-th score there decides which other shards' roots can still better it, and goes with it to those, where leaves are visited by falling upper bound (query times
 centre plus query norm times radius, never above the parent's bound) until the bound falls below the k-th score so far.
 Queries travel in blocks; a task holds one tree and one block at a time. Lists from the shards meet in a rank per query.
 
@@ -24,6 +24,8 @@ K = 20
 EVERY = 20
 SHARD = 8192
 LEAF = 128
+#: Shards whose roots travel to all executors; past that queries go to every shard.
+MOST_ROOTS = 1 << 15
 #: Below any score, and safe to negate.
 LOWEST = -np.iinfo(np.int64).max
 
@@ -61,8 +63,7 @@ def search(tree: dict, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.n
     exact = np.float64 if most < 2.0**53 else np.int64
     x, qe, q64 = tree["x"].astype(exact), q.astype(exact), q.astype(np.float64)
     norm = np.sqrt((q64 * q64).sum(1))
-    bound = q64 @ tree["centre"].T + norm[:, None] * tree["radius"]
-    bound += 1e-9 * (abs(bound) + norm[:, None] * (np.sqrt((tree["centre"] ** 2).sum(1)) + 1)) + 1e-6
+    bound = _bound(q64, norm, tree["centre"], tree["radius"])
     for node, up in enumerate(tree["parent"]):
         if up >= 0:
             np.minimum(bound[:, node], bound[:, up], out=bound[:, node])
@@ -105,7 +106,14 @@ def _build(table: pa.Table) -> pa.Table:
     if abs(x).max(initial=0) < 2**31:
         x = x.astype(np.int32)
     tree = ball_tree(table["vec_id"].to_numpy(), x)
-    return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "tree": pa.array([packed(**tree)], pa.binary())})
+    root = {"centre": pa.array(tree["centre"][:1].tolist(), pa.list_(pa.float64())), "radius": pa.array(tree["radius"][:1])}
+    return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), **root, "tree": pa.array([packed(**tree)], pa.binary())})
+
+
+def _bound(q: np.ndarray, norm: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The inner product that no row of a node exceeds, by query and node, with room for rounding."""
+    bound = q @ centre.T + norm[:, None] * radius
+    return bound + 1e-9 * (abs(bound) + norm[:, None] * (np.sqrt((centre**2).sum(1)) + 1)) + 1e-6
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -113,24 +121,44 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "queries": pa.array([q], pa.binary())})
 
 
+def shard_roots(spark, held: dict):
+    """Shards' roots (number, centre, radius) by dimension on all executors: MOST_ROOTS at most."""
+    return spark.sparkContext.broadcast({d: (np.array([x[0] for x in v]), np.array([x[1] for x in v], np.float64), np.array([x[2] for x in v])) for d, v in held.items()})
+
+
 def top_k(vectors: DataFrame, scaled: str, is_query: str, vec_id: str = "vec_id", k: int = K, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id and score for the rows where is_query holds. scaled: SQL for an array of longs (null: takes no part)."""
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.expr(scaled).alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL").distinct()
     v = save(v, "vectors")
     n = max(1, -(-v.count() // shard))
     v = v.withColumns({"dim": F.size("x"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")})
-    trees = save(v.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, tree binary"), "trees")
+    trees = save(v.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, centre array<double>, radius double, tree binary"), "trees")
+    held: dict = {}
+    if n <= MOST_ROOTS:
+        for r in trees.select("dim", "shard", "centre", "radius").collect():
+            held.setdefault(r["dim"], []).append((r["shard"], r["centre"], r["radius"]))
+    roots = shard_roots(v.sparkSession, held)
     asked = v.where(is_query).groupBy("dim", "shard").applyInArrow(_block, "dim int, shard int, queries binary")
 
     def at_home(batches):
+        """A query block's own results, and for every other shard the queries that its root may still better."""
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 q = unpacked(row["queries"])
                 floor = np.full(len(q["ids"]), LOWEST)
                 who, ids, scores, kth = search(unpacked(row["tree"]), q["ids"], q["x"], k, floor)
-                found = packed(query=q["ids"][who], ids=ids, scores=scores)
-                yield pa.RecordBatch.from_pylist([{"dim": row["dim"], "home": row["shard"], "queries": packed(kth=kth, **q), "found": found}], schema=pa.schema([("dim", pa.int32()), ("home", pa.int32()), ("queries", pa.binary()), ("found", pa.binary())]))
+                out = [{"dim": row["dim"], "shard": -1, "queries": None, "found": packed(query=q["ids"][who], ids=ids, scores=scores)}]
+                if row["dim"] in roots.value:
+                    shards, centre, radius = roots.value[row["dim"]]
+                    x = q["x"].astype(np.float64)
+                    open_ = _bound(x, np.sqrt((x * x).sum(1)), centre, radius) >= kth[:, None]
+                    asked_ = [(int(s), np.nonzero(open_[:, c])[0]) for c, s in enumerate(shards) if s != row["shard"]]
+                else:
+                    asked_ = [(s, np.arange(len(q["ids"]))) for s in range(n) if s != row["shard"]]
+                out += [{"dim": row["dim"], "shard": s, "queries": packed(kth=kth[rows], ids=q["ids"][rows], x=q["x"][rows]), "found": None} for s, rows in asked_ if len(rows)]
+                for r in out:  # one at a time: a batch holds one block of queries
+                    yield pa.RecordBatch.from_pylist([r], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("queries", pa.binary()), ("found", pa.binary())]))
 
     names = ["query_id", "vec_id", "score"]
 
@@ -152,9 +180,9 @@ def top_k(vectors: DataFrame, scaled: str, is_query: str, vec_id: str = "vec_id"
                 yield rows_of(f["query"], f["ids"], f["scores"])
 
     schema = "query_id long, vec_id long, score long"
-    first = save(trees.join(asked, ["dim", "shard"]).mapInArrow(lean(at_home), "dim int, home int, queries binary, found binary"), "home")
-    away = first.select("dim", "home", "queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard")).where("shard <> home")
-    found = away.join(trees, ["dim", "shard"]).mapInArrow(lean(elsewhere), schema).unionByName(first.select("found").mapInArrow(lean(unpack), schema))
+    first = save(trees.select("dim", "shard", "tree").join(asked, ["dim", "shard"]).mapInArrow(lean(at_home), "dim int, shard int, queries binary, found binary"), "home")
+    away = first.where("shard >= 0").select("dim", "shard", "queries")
+    found = away.join(trees.select("dim", "shard", "tree"), ["dim", "shard"]).mapInArrow(lean(elsewhere), schema).unionByName(first.where("shard < 0").select("found").mapInArrow(lean(unpack), schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -83,3 +83,32 @@ def test_components(spark):
 def test_ranks(spark):
     df = spark.createDataFrame([(k * 7919 % 1000,) for k in range(1000)], "k long")
     assert [r.at for r in common.ranked(df, [F.col("k")], "at").orderBy("k").collect()] == list(range(1000))
+
+
+def test_huge_tiny_and_odd_components(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 1e200]), (3, [1e-200, 1e-201]), (4, [1.0, 0.1]), (5, [3e200, 3.1e199]), (None, [1.0, 0.1]), (4, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"n_links": F.lit("clash"), "rep": F.lit("clash"), "block": F.lit("clash")})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in neardup_vectors.near_pairs(df).collect())
+    # 1 is within 0.9 of 3, 4 (twice) and 5; 2 (cosine 0.894 with 1) links with 3, 4 and 5
+    assert got == [(0, 0, 0), (1, 4, 1), (2, 4, 1), (3, 5, 1), (4, 5, 1), (4, 5, 1), (5, 5, 1)]
+
+
+def test_blocks_that_cannot_link_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.eye(16)
+    x = (base[rng.integers(0, 16, 800)] + rng.normal(size=(800, 16)) * 0.03).astype(np.float32)
+    seen = []
+    meetings = neardup_vectors.meetings
+    monkeypatch.setattr(neardup_vectors, "meetings", lambda trees, t: seen.append((trees.count(), meetings(trees, t).count())) or meetings(trees, t))
+    got = neardup_vectors.near_pairs(frame(spark, x), block=20).collect()
+    wide = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(((wide @ wide.T >= 0.9).sum(1) - 1).tolist()))
+    blocks, met = seen[0]
+    assert met < blocks * (blocks + 1) / 2 / 2
+
+
+def test_top_k_with_few_candidates_null_ids_and_clashes(spark):
+    rows = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (None, [9.0, 9.0]), (7, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit("clash"), "shard": F.lit("clash"), "score": F.lit("clash")})
+    got = [tuple(r) for r in topk.top_k(df, topk.SCALED, "vec_id % 20 = 0").orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7, 64 * 192 + 128 * 192), (0, 2, 20, 64 * 32 - 128 * 64), (20, 1, 0, 32 * 64 - 64 * 128), (20, 2, 7, 32 * 192 - 64 * 192)]  # a tie goes to the smaller id
