@@ -39,9 +39,30 @@ def header_rows(tables: DataFrame, cells: DataFrame, fallback: bool = True) -> D
     return out.select("table_id", "header_rows")
 
 
+def _placed(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """The dense grid with header_rows: places and cells are dealt by table once and meet in one group, without a join."""
+    span = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    places = tables.select("table_id", F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"), F.explode(span("n_rows")).alias("row")).withColumn("col", F.explode(span("n_cols")))
+    ord_type = cells.schema["ord"].dataType
+    places = places.select("table_id", "row", "col", "n_rows", "n_cols", F.lit(None).cast(ord_type).alias("ord"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_header"))
+    none = F.lit(None).cast("int")
+    filled = cells.select("table_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), none.alias("n_rows"), none.alias("n_cols"), "ord", "text", "is_header")
+    grid = places.unionByName(filled).repartition("table_id").groupBy("table_id", "row", "col").agg(
+        F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.coalesce(F.max_by("text", "ord"), F.lit("")).alias("text"), F.bool_or("is_header").alias("_head")
+    )
+    # leading rows that hold a header cell, also one beside the grid; 1 if none is marked and there are more rows
+    marked = F.max("_head").over(Window.partitionBy("table_id", "row"))
+    table = Window.partitionBy("table_id")
+    inside = grid.withColumn("_marked", marked).where("n_rows IS NOT NULL")
+    run = F.coalesce(F.min(F.when(~F.coalesce("_marked", F.lit(False)), F.col("row"))).over(table), F.col("n_rows"))
+    inside = inside.withColumn("header_rows", run.cast("int"))
+    inside = inside.withColumn("header_rows", F.when((F.col("header_rows") == 0) & (F.col("n_rows") > 1), 1).otherwise(F.col("header_rows")))
+    return inside.select("table_id", "row", "col", "n_rows", "n_cols", "text", "header_rows")
+
+
 def model(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """The dense grid with header_rows, col_type (Label, Numeric, Ratio, Empty) and row_kind (Header, Section, Data, Total)."""
-    grid = dense_grid(tables, cells).join(header_rows(tables, cells), "table_id").repartition("table_id")
+    grid = _placed(tables, cells)
     t = trimmed(F.col("text"))
     grid = grid.withColumns({"t": t, "num": parse_num(F.col("text"))})
     body = F.col("row") >= F.col("header_rows")

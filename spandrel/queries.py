@@ -41,14 +41,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def boxed(df: DataFrame) -> DataFrame:
-    """Boxes from lineitem's keys: pages of a few hundred boxes at any scale of the table."""
+    """Boxes from lineitem's keys: a few dozen a page at any scale, as the number of pages grows with the table."""
     return df.withColumns({
-        "doc": F.pmod(F.col("l_orderkey"), F.lit(50)), "page": F.floor(F.col("l_orderkey") / 50) % 1000,
+        "doc": F.pmod(F.floor(F.col("l_orderkey") / 8), F.lit(50)), "page": F.floor(F.col("l_orderkey") / 50),
         "bbox": G.box(F.col("l_partkey") % 500, F.col("l_suppkey") % 700, F.col("l_partkey") % 500 + F.col("l_quantity") * 2, F.col("l_suppkey") % 700 + F.col("l_linenumber") * 5),
     })
 
 
-BOXED = """b AS (SELECT *, l_orderkey % 50 AS doc, (l_orderkey // 50) % 1000 AS page, (l_partkey % 500)::FLOAT AS x0, (l_suppkey % 700)::FLOAT AS y0,
+BOXED = """b AS (SELECT *, l_orderkey // 8 % 50 AS doc, l_orderkey // 50 AS page, (l_partkey % 500)::FLOAT AS x0, (l_suppkey % 700)::FLOAT AS y0,
   (l_partkey % 500 + l_quantity * 2)::FLOAT AS x1, (l_suppkey % 700 + l_linenumber * 5)::FLOAT AS y1 FROM lineitem)"""
 
 
@@ -120,21 +120,24 @@ def total_label(spark, sf_dir):
 
 def order_table(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Each order as a table: a header, its lines as data rows, every fourth row their total (off where the order divides by 7)."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = load(spark, sf_dir, "lineitem").select(*KEY, "l_quantity").withColumn("i", F.row_number().over(order) - 1)
-    lines = lines.withColumns({"q": F.col("l_quantity").cast("int"), "part": F.floor(F.col("i") / 3).cast("int")})
-    data = lines.select(F.col("l_orderkey").alias("table_id"), (F.col("i") + F.col("part") + 1).cast("int").alias("row"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.col("q").cast("string").alias("amount"))
-    totals = lines.groupBy("l_orderkey", "part").agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n")).where("n = 3")
-    wrong = F.when(F.col("l_orderkey") % 7 == 0, F.col("s") + 5).otherwise(F.col("s"))
-    totals = totals.select(F.col("l_orderkey").alias("table_id"), (F.col("part") * 4 + 4).cast("int").alias("row"), F.lit("Total").alias("name"), wrong.cast("string").alias("amount"))
-    rows = data.unionByName(totals)
-    tables = rows.groupBy("table_id").agg((F.max("row") + 1).alias("n_rows")).withColumn("n_cols", F.lit(2))
-    head = tables.select("table_id", F.lit(0).alias("row"), F.lit("Item").alias("name"), F.lit("Amount").alias("amount"))
-    cells = head.unionByName(rows).select("table_id", "row", F.posexplode(F.array("name", "amount")).alias("col", "text"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    row = lambda at, name, amount: F.struct(at.cast("int").alias("row"), name.alias("name"), amount.cast("string").alias("amount"))
+
+    def part(p):
+        some = F.slice("x", p * 3 + 1, F.lit(3))
+        data = F.transform(some, lambda v, i: row(p * 4 + i + 1, F.concat(F.lit("Part "), v.l_partkey.cast("string")), v.q))
+        total = F.aggregate(some, F.lit(0), lambda a, v: a + v.q) + F.when(F.col("table_id") % 7 == 0, 5).otherwise(0)
+        return F.concat(data, F.when(F.size(some) == 3, F.array(row(p * 4 + 4, F.lit("Total"), total))).otherwise(F.slice(data, 1, 0)))
+
+    head = F.array(row(F.lit(0), F.lit("Item"), F.lit("Amount")))
+    rows = lines.select("table_id", F.concat(head, F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.size("x") / 3).cast("int") - 1), part))).alias("rows"))
+    tables = rows.select("table_id", F.size("rows").alias("n_rows"), F.lit(2).alias("n_cols"))
+    cells = rows.select("table_id", F.explode("rows").alias("r")).select("table_id", "r.row", F.posexplode(F.array("r.name", "r.amount")).alias("col", "text"))
     return tables, cells.withColumns({"ord": F.col("row") * 2 + F.col("col"), "is_header": F.col("row") == 0})
 
 
-ORDERS = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_quantity::INT AS q FROM lineitem),
+ORDERS = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, l_quantity::INT AS q FROM lineitem),
 tt AS (SELECT l_orderkey, i // 3 AS part, sum(q)::BIGINT AS s, count(*) AS n FROM li GROUP BY 1, 2),
 tot AS (SELECT l_orderkey, part, s, CASE WHEN l_orderkey % 7 = 0 THEN s + 5 ELSE s END AS t, part * 4 + 4 AS row FROM tt WHERE n = 3)"""
 
@@ -329,14 +332,14 @@ def contents_agree(spark, sf_dir):
     return part.join(nxt, "p_partkey", "left").select("p_partkey", X.contents_agree(a, F.coalesce(b, F.lit(""))).alias("agree"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, role FROM conversations), c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS crop FROM t GROUP BY 1),
+@query("""WITH t AS (SELECT conv_id, turn, text, role FROM conversations), c AS (SELECT a.conv_id, a.turn, string_agg(b.text, ' ' ORDER BY b.turn) AS crop FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY 1, 2),
 k AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || ' 9,999' END AS asserted FROM t)
-SELECT k.conv_id, k.turn, coalesce(lower(regexp_replace(asserted, '[\\s,$]', '', 'g')) <> '' AND contains(lower(regexp_replace(crop, '[\\s,$]', '', 'g')), lower(regexp_replace(asserted, '[\\s,$]', '', 'g'))), false) AS supported FROM k JOIN c USING (conv_id)""")
+SELECT k.conv_id, k.turn, coalesce(lower(regexp_replace(asserted, '[\\s,$]', '', 'g')) <> '' AND contains(lower(regexp_replace(crop, '[\\s,$]', '', 'g')), lower(regexp_replace(asserted, '[\\s,$]', '', 'g'))), false) AS supported FROM k JOIN c USING (conv_id, turn)""")
 def answer_support(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.lit(1).alias("page"), F.col("turn").alias("ord"), "text")
     spans = turns.withColumn("bbox", G.box(0, F.col("ord") * 10, 100, F.col("ord") * 10 + 8))
     asserted = F.when(F.col("ord") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" 9,999")))
-    claims = spans.select(F.struct("doc", "ord").alias("claim_id"), "doc", "page", G.box(0, 0, 100, 1000000).alias("bbox"), asserted.alias("asserted"))
+    claims = spans.select(F.struct("doc", "ord").alias("claim_id"), "doc", "page", G.box(F.lit(0), F.col("ord") * 10 - 10, F.lit(100), F.col("ord") * 10 + 18).alias("bbox"), asserted.alias("asserted"))
     return D.answer_support(claims, spans).select(F.col("claim_id.doc").alias("conv_id"), F.col("claim_id.ord").alias("turn"), "supported")
 
 
@@ -375,10 +378,12 @@ def document_markdown(spark, sf_dir):
     return M.document_markdown(elements(spark, sf_dir), ["conv_id"])
 
 
-@query("""SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0 EXCEPT SELECT DISTINCT source, lang FROM documents WHERE doc_id % 7 = 1""")
+@query("SELECT lang, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND lang IS NOT NULL GROUP BY ALL")
 def enrichment_cache(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), "source")
-    return V.enrichment_work(docs.where("doc_id % 3 = 0").select("kind", "source").distinct(), docs.where("doc_id % 7 = 1")).select("source", F.col("kind").alias("lang"))
+    """What no good label covers yet is still to be enriched."""
+    docs = load(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").alias("source")).where("kind IS NOT NULL").distinct()
+    labels = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("source"))
+    return V.enrichment_work(docs, docs.join(labels, "source", "left_semi")).select(F.col("kind").alias("lang"), F.col("source").alias("doc_id"))
 
 
 @query("SELECT doc_id, 'art_' || substr(sha256(text), 1, 12) || '_' || (doc_id % 3) AS artifact_id FROM documents")
@@ -389,7 +394,7 @@ def content_hash(spark, sf_dir):
 def sheet(spark, sf_dir) -> DataFrame:
     """Orders as sheets of mixed cells: a date section row before each block of lines, a price and a quantity column."""
     tables, cells = order_table(spark, sf_dir)
-    return T.model(tables, cells)
+    return saved(T.model(tables, cells), "model")  # types, names and values each read it
 
 
 @query(f"""WITH {ORDERS}, x AS (SELECT l_orderkey AS table_id, i + i // 3 AS row, 'Part ' || l_partkey AS name, q::DOUBLE AS value FROM li UNION ALL SELECT l_orderkey, row - 1, 'Total', t::DOUBLE FROM tot)
@@ -485,11 +490,11 @@ def page_status(spark, sf_dir):
     return corpus.page_status(pages, labels)
 
 
-@query("""SELECT doc, page, cost, (sum(cost) OVER w)::BIGINT AS done, (sum(cost) OVER w - cost)::BIGINT AS start FROM (SELECT doc_id % 30 AS doc, doc_id AS page, n_chars AS cost FROM documents) WINDOW w AS (PARTITION BY doc ORDER BY cost, page ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT doc, page, cost, (sum(cost) OVER w)::BIGINT AS done, (sum(cost) OVER w - cost)::BIGINT AS start FROM (SELECT doc_id // 100 AS doc, doc_id AS page, n_chars AS cost FROM documents) WINDOW w AS (PARTITION BY doc ORDER BY cost, page ROWS UNBOUNDED PRECEDING)""")
 def cheapest_first(spark, sf_dir):
     from spandrel.operators import corpus
 
-    pages = load(spark, sf_dir, "documents").select((F.col("doc_id") % 30).alias("doc"), F.col("doc_id").alias("page"), F.col("n_chars").alias("cost"))
+    pages = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("doc"), F.col("doc_id").alias("page"), F.col("n_chars").alias("cost"))
     return corpus.cheapest_first(pages, "cost")
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from spandrel import queries as Q
+from spandrel import queries_more  # noqa: F401
 from tests.conftest import SF
 
 
