@@ -6,7 +6,8 @@ procedural and runs once per table; the score is SQL over the matched pairs.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections import Counter
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -64,17 +65,25 @@ class Ribbon:
         return []
 
 
+def by_occurrence(words: list[str]) -> dict:
+    """The number of each word by the word and how often it came before."""
+    seen: Counter = Counter()
+    out = {}
+    for k, w in enumerate(words):
+        out[w, seen[w]] = k
+        seen[w] += 1
+    return out
+
+
 def align(obs: list[str], hyp: list[str]) -> list[tuple]:
     """(obs, hyp) numbers of matches, with None for what stays alone; both lists in reading order, in plain form.
 
     Equal words match by occurrence; then one word here may be several there, and the other way round.
     """
-    sides = [pd.DataFrame({"t": pd.Series(x, dtype=object)}).reset_index(names=name) for x, name in ((obs, "i"), (hyp, "j"))]
-    joined = pd.merge(*(x.assign(n=x.groupby("t").cumcount()) for x in sides), on=["t", "n"], how="outer", indicator=True)
-    found = joined[joined._merge == "both"].sort_values("i")
-    pairs = list(zip(found.i.astype(int), found.j.astype(int)))
-    alone = sorted(joined[joined._merge == "left_only"].i.astype(int))
-    spare = Ribbon(sorted(joined[joined._merge == "right_only"].j.astype(int)), hyp)
+    here, there = by_occurrence(obs), by_occurrence(hyp)
+    pairs = sorted((i, there[key]) for key, i in here.items() if key in there)
+    alone = sorted(i for key, i in here.items() if key not in there)
+    spare = Ribbon(sorted(j for key, j in there.items() if key not in here), hyp)
     split = {i: spare.take(obs[i]) for i in alone}
     left = Ribbon([i for i in alone if not split[i]], obs)
     glued = {j: left.take(hyp[j]) for j in spare.numbers}
@@ -88,22 +97,42 @@ def matched_pairs(obs: DataFrame, hyp: DataFrame) -> DataFrame:
     zero = F.lit(0.0).cast("float")
     right = hyp.select("table_id", F.lit(1).alias("side"), "text", zero.alias("x0"), zero.alias("y0"), zero.alias("x1"), zero.alias("y1"), "row", "col")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].copy(), pdf[pdf.side == 1].sort_values(["row", "col"], kind="stable")
-        if len(a):
-            a["row"], a["col"] = row_bands(a.y0.to_numpy(), a.y1.to_numpy()), col_bands(a.x0.to_numpy(), a.x1.to_numpy())
-            a = a.sort_values(["row", "x0"], kind="stable")
-        o = [(t, r, c) for t, r, c in zip(a.text, a.row, a.col) if plain(t)]
-        h = [(w, r, c) for t, r, c in zip(b.text, b.row, b.col) for w in t.split() if plain(w)]
-        rows = []
+    def one(table, side, text, box, row, col) -> list[tuple]:
+        seen, parsed = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        parsed = parsed[np.lexsort((col[parsed], row[parsed]))]
+        if len(seen):
+            row[seen], col[seen] = row_bands(box[seen, 1], box[seen, 3]), col_bands(box[seen, 0], box[seen, 2])
+            seen = seen[np.lexsort((box[seen, 0], row[seen]))]
+        o = [(text[k], int(row[k]), int(col[k])) for k in seen if plain(text[k])]
+        h = [(w, int(row[k]), int(col[k])) for k in parsed for w in text[k].split() if plain(w)]
+        out = []
         for i, j in align([plain(x[0]) for x in o], [plain(x[0]) for x in h]):
             x, y = o[i] if i is not None else (None,) * 3, h[j] if j is not None else (None,) * 3
-            kind = "missing" if j is None else "spurious" if i is None else "matched"
-            rows.append((pdf.table_id.iloc[0], len(rows), kind, x[0], y[0], x[1], x[2], y[1], y[2]))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
-        return out.astype({c: "Int32" for c in ("place", "obs_row", "obs_col", "hyp_row", "hyp_col")})
-
-    return left.unionByName(right).groupBy("table_id").applyInPandas(run, PAIRS)
+            out.append((table, len(out), "missing" if j is None else "spurious" if i is None else "matched", x[0], y[0], x[1], x[2], y[1], y[2]))
+        return out
+
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+
+    def run(batches):
+        """Tables are small and many: they are cut out of sorted batches by their borders instead of one call each."""
+        held = None
+        for pdf in chain(batches, [None]):
+            last = pdf is None
+            held = pdf if held is None else held if last else pd.concat([held, pdf], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            ids = held.table_id.to_numpy()
+            cuts = [0, *(np.nonzero(ids[1:] != ids[:-1])[0] + 1).tolist()] + ([len(held)] if last else [])
+            side, text, box = held.side.to_numpy(), held.text.fillna("").tolist(), held[["x0", "y0", "x1", "y1"]].to_numpy()
+            row, col = held.row.to_numpy().copy(), held["col"].to_numpy().copy()
+            rows = [r for a, b in zip(cuts, cuts[1:]) for r in one(ids[a], side[a:b], text[a:b], box[a:b], row[a:b], col[a:b])]
+            if rows:
+                out = pd.DataFrame(rows, columns=names)
+                yield out.astype({c: "Int32" for c in ("place", "obs_row", "obs_col", "hyp_row", "hyp_col")})
+            held = None if last else held.iloc[cuts[-1] :].reset_index(drop=True)
+
+    both = left.unionByName(right).withColumn("table_id", F.col("table_id").cast("string"))
+    return both.repartition("table_id").sortWithinPartitions("table_id", "side").mapInPandas(run, PAIRS)
 
 
 def score(pairs: DataFrame) -> DataFrame:
