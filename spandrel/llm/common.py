@@ -163,7 +163,7 @@ def told_apart(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc
 
 
 #: Ids with more edges than this, and than one in 2**HUB_BITS of all edges, are dealt over several tasks.
-HUB = 128
+HUB = 256
 HUB_BITS = 13
 
 

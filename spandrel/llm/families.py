@@ -97,10 +97,15 @@ def spans(table: pa.Table, width: int) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
+#: Families up to this many (12 bytes each) travel by broadcast; beyond, both sides are shuffled.
+BROADCAST_FAMILIES = 1_000_000
+
+
 def sized(members: DataFrame) -> DataFrame:
-    """family and chunks for families of two members and more. members: family and weight."""
+    """members (family, weight and more) of families of two and more, with chunks."""
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1")
-    return sizes.select("family", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("w") / WEIGHT)).cast("int").alias("chunks"))
+    sizes = save(sizes.select("family", F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("w") / WEIGHT)).cast("int").alias("chunks")), "sizes")
+    return members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_FAMILIES else sizes, "family")
 
 
 def verified(members: DataFrame, sets: Callable, linked: Callable) -> list[DataFrame]:

@@ -335,7 +335,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
     roots = families.select("component").distinct()
     ids = families.select(F.col("id").alias("rep"), F.col("component").alias("family")).unionByName(roots.select(F.col("component").alias("rep"), F.col("component").alias("family")))
     members = save(ids.join(classes.select("rep", "p", "q", F.col("n").cast("long").alias("weight")), "rep"), "members")
-    named = save(members.drop("weight").join(sized(members), "family"), "members")
+    named = save(sized(members).drop("weight"), "members")
     release(members)
     ids = found.where("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     links = true_edges(docs, named, width, percent, ids[0] > ids[1])
