@@ -167,46 +167,48 @@ HUB = 256
 HUB_BITS = 13
 
 
+#: Ids in the middle (with neighbours above and below) up to this many travel by broadcast, 16 bytes each.
+MIDDLE = 1 << 18
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (id, component): component is the smallest id reachable. Ids without an edge are absent.
 
     Alternating large and small stars (Kiveris et al., 2014) over edges u > v. Large star: v gives way to its least
-    neighbour. Small star: the neighbours below u are tied to the least of them. No task meets all edges of a hub: a hub on
-    the v side gets its least neighbour by broadcast, and one on the u side is starred in parts, which leaves it one edge a
-    part for the next round. There are under 2**(HUB_BITS + 1) hubs, whatever the number of edges. Every round is written to
-    the shared folder; two numbers and the hubs reach the driver.
+    neighbour. Small star: the neighbours below u are tied to the least of them. Each round begins with the degrees of all
+    ids; once no id has two neighbours below it, or neighbours on both sides, the edges are stars and the search ends.
+    No task meets all edges of a hub: a hub on the v side gets its least neighbour by broadcast, and one on the u side is
+    starred in parts, which leaves it one edge a part for the next round. There are under 2**(HUB_BITS + 1) hubs, whatever
+    the number of edges. Every round is written to the shared folder; three numbers and the hubs reach the driver.
     """
     spark = edges.sparkSession
     e = save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    now = _signature(e)
-    while now[0]:
-        most = max(HUB, now[0] >> HUB_BITS)
-        ends = e.select(F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("u").alias("x")), F.struct(F.lit(1).alias("end"), F.col("v").alias("x")))).alias("s"))
-        busy = ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("s.end", "s.x", "n").collect() if now[0] > most else []
-        hubs = [small_table(spark, "x long, parts long", [(r["x"], -(-r["n"] // most)) for r in busy if r["end"] == end]) if any(r["end"] == end for r in busy) else None for end in (0, 1)]
-        low = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        if hubs[1] is None:
-            large = e.join(low, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    while True:
+        most = max(HUB, e.count() >> HUB_BITS)
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        ends = F.array(F.struct(F.col("u").alias("x"), one.alias("below"), none.alias("above"), F.col("v").alias("m")), F.struct(F.col("v").alias("x"), none.alias("below"), one.alias("above"), F.lit(None).cast("long").alias("m")))
+        degrees = e.select(F.explode(ends).alias("s")).groupBy("s.x").agg(F.sum("s.below").alias("below"), F.sum("s.above").alias("above"), F.min("s.m").alias("m"))
+        busy = save(degrees.where((F.col("below") > 1) | (F.col("above") > most) | (F.col("below") > 0) & (F.col("above") > 0)), "degrees")
+        unsettled, middle = busy.agg(F.count_if(F.expr("below > 1 OR below > 0 AND above > 0")), F.count_if(F.expr("below > 0 AND above > 0"))).first()
+        if not unsettled:
+            release(busy)
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        hubs = busy.where((F.col("below") > most) | (F.col("above") > most)).collect()
+        low = busy.where("below > 0 AND above > 0").select(F.col("x").alias("k"), "m")
+        over = [(r["x"], r["m"]) for r in hubs if r["above"] > most]
+        if middle <= MIDDLE or not over:
+            large = e.join(F.broadcast(low) if middle <= MIDDLE else low, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
         else:
-            known = hubs[1].join(F.broadcast(low.join(F.broadcast(hubs[1].select("x")), F.col("k") == F.col("x")).select("k", F.col("m").alias("hm"))), F.col("x") == F.col("k"), "left").select("x", "hm")
-            spread = e.join(F.broadcast(known), F.col("v") == F.col("x"), "left")
+            spread = e.join(F.broadcast(small_table(spark, "x long, hm long", over)), F.col("v") == F.col("x"), "left")
             # rows of a hub carry a second key that nothing on the other side has, so they go anywhere and match nothing
             spread = spread.withColumn("_s", F.when(F.col("x").isNotNull(), 1 + F.pmod(F.xxhash64("u"), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
             low = low.withColumn("_z", F.pmod("k", F.lit(1)))  # always 0, but a literal would be folded out of the join's keys
             large = spread.join(low, (F.col("v") == F.col("k")) & (F.col("_s") == F.col("_z")), "left").select("u", F.coalesce("hm", "m", "v").alias("v"))
+        parts = [(r["x"], -(-r["below"] // most)) for r in hubs if r["below"] > most]
         keys = ["u"]
-        if hubs[0] is not None:
-            large = large.join(F.broadcast(hubs[0]), F.col("u") == F.col("x"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("_p"))
+        if parts:
+            large = large.join(F.broadcast(small_table(spark, "x long, parts long", parts)), F.col("u") == F.col("x"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("_p"))
             keys = ["u", "_p"]
         least = large.withColumn("m", F.min("v").over(Window.partitionBy(*keys)))
-        was, old = now, e
-        e = save(least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        release(old)
-        now = _signature(e)
-        if was == now:
-            break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-
-
-def _signature(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        old, e = e, save(least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        release(old, busy)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spandrel.llm import common, neardup_vectors, topk
@@ -68,9 +69,12 @@ def test_top_k_matches_brute_force(spark):
     assert zero and got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub, middle", [(256, 1 << 18), (8, 1 << 18), (8, 0)])
+def test_components(spark, monkeypatch, hub, middle):
+    monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "MIDDLE", middle)
     rng = random.Random(4)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(500, k) for k in range(501, 560)]
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(500, k) for k in range(501, 560)] + [(k, 700) for k in range(600, 640)]
     got = dict(tuple(r) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect())
     part = {k: k for e in edges for k in e}
     for _ in range(400):
