@@ -357,6 +357,30 @@ def test_linked_parts_match_brute_force():
             assert len({*zip(want, again.tolist())}) == len(set(want)) == len(set(again.tolist()))
 
 
+def test_pairs_of_rare_shingles_add_up():
+    rng = np.random.default_rng(3)
+    for most in (1, 40, 1 << 21):
+        member = np.sort(rng.choice(30 * 200, 900, replace=False))
+        column, owner = member // 30, member % 30
+        column = np.unique(column, return_inverse=True)[1]
+        rest = np.sort(rng.choice(30, 11, replace=False))
+        x = np.zeros((30, column[-1] + 1), np.int64)
+        x[owner, column] = 1
+        common = np.ones((11, 30), np.float32)
+        families.add_pairs(common, owner, column, rest, most)
+        assert (common == 1 + x[rest] @ x.T).all()
+
+
+def test_parts_of_many_members_with_rare_and_frequent_shingles():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 40, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.94], rng.integers(1 << 41, (1 << 41) + 4000, 5).astype(np.uint64)])) for _ in range(400)]
+    linked = lambda common, n, m: common >= 0.8 * (n + m - common)
+    links = [(a, b) for a in range(400) for b in range(a) if linked(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]))]
+    assert 400 < len(links) < 60000
+    assert roots(400, enumerate(families.linked_parts(sets, linked).tolist())) == roots(400, links)
+
+
 def test_large_families_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(families, "MEMBERS", 10)
     rng = random.Random(14)
