@@ -5,6 +5,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +283,38 @@ def test_lines_of_texts_that_share_an_id(spark):
     assert got in (sorted(first + [(9, "of the end")]), sorted(second + [(9, "of the end")]))
 
 
+def test_lines_travel_in_blocks():
+    rng = random.Random(16)
+    texts = ["\n".join(prose(rng, 12) for _ in range(200)) for _ in range(20)]
+    texts += texts[:2]  # of another batch: tied to the first ones, not signed again
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b])], names=["ord", "text"]) for a, b in ((0, 20), (20, 22))]
+    sent = pa.Table.from_batches(list(line_dedup.signed(batches, 20, 64)))
+    assert sent.num_rows <= 64 + 1  # 12 keys a line were as many rows once: 48,000
+    found = np.concatenate([np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in line_dedup.met(sent.sort_by("part").to_batches(max_chunksize=10))])
+    assert {(20 + d << 20 | k, d << 20 | k) for d in range(2) for k in range(200)} <= set(map(tuple, found.tolist()))
+    key, node = line_dedup.entries(sent.filter(pc.invert(sent["tied"])))
+    assert 0 < len(key) <= 4000 * line_dedup.BANDS and node.max() < 20 << 20
+    # entries of any parts and batches come out as they went in
+    part, x = np.sort(rng.choices(range(9), k=50)), np.arange(50, dtype=np.uint64)
+    y = np.array([rng.getrandbits(62) for _ in range(50)])
+    got = line_dedup.entries(pa.Table.from_batches([line_dedup.blocks(part, False, x, y)]))
+    assert got[0].tolist() == x.tolist() and got[1].tolist() == y.tolist()
+
+
+@pytest.mark.parametrize("n, shift", [(1, 0), (3, 0), (9, 1), (18, 2), (90, 10), (900, 100)])
+def test_similar_lines_share_a_band(n, shift):
+    rng, size, lines_ = np.random.default_rng(17), n + line_dedup.SHINGLE - 1, []
+    for _ in range(600):  # two windows of a random text, with n shingles each and n - shift in common
+        text = rng.integers(97, 123, size + shift).astype(np.uint32)
+        lines_ += [np.append(text[:size], 10), np.append(text[shift:], 10)]
+    points, end = np.concatenate(lines_).astype(np.uint32), np.arange(1, 1201) * (size + 1) - 1
+    start = end - size
+    keys = line_dedup.band_keys(points, start, end, line_dedup.whole(points, start, end))
+    share = (keys[::2] == keys[1::2]).any(1).mean()
+    assert share == 1 if not shift else share > 0.975  # similarity 0.8: 0.99 by calculation
+    assert len(np.unique(keys[::2])) > 0.99 * 600 * line_dedup.BANDS
+
+
 # --- n-gram join ---
 
 
